@@ -10,12 +10,38 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinweave.llm import toxicity
+
+    docs = _docs(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir)))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinweave.llm import exact_dedup
 
     return exact_dedup.dedup(_docs(spark, sf_dir)).drop("keep_locator")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinweave.llm import language_id
+
+    docs = _docs(spark, sf_dir)
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from kinweave.llm import token_counts
+
+    return token_counts.token_counts(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinweave.llm import quality_rules
 
@@ -28,7 +54,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.dedup(_docs(spark, sf_dir)).select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_quality_rules, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language_id, op4_token_counts, op5_quality_rules, op8_simhash)}
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": r"""
