@@ -48,13 +48,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_docs(spark, sf_dir)).drop("clean_text")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinweave.llm import mixing
+
+    return mixing.plan(_docs(spark, sf_dir))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinweave.llm import simhash
 
     return simhash.dedup(_docs(spark, sf_dir)).select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language_id, op4_token_counts, op5_quality_rules, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language_id, op4_token_counts, op5_quality_rules, op7_mixing, op8_simhash)}
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": r"""
@@ -82,4 +88,30 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
                CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, (NOT base_failed AND NOT (word_chars - kept_chars > 0.5 * word_chars)) AS kept,
                CAST(n_removed_lines AS BIGINT) AS n_removed_lines, CAST(kept_chars AS BIGINT) AS kept_chars FROM b""",
+    "op7_mixing": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) AS num,
+                          CAST(ceil(strlen(coalesce(text, '')) / 4) AS BIGINT) AS n_tokens FROM documents),
+        s AS (SELECT doc_id, CASE WHEN num = '' THEN 'other' ELSE 'domain' || (CAST(num AS BIGINT) % 4) END AS domain, lang, source, n_tokens FROM d),
+        leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM s GROUP BY ALL),
+        n1 AS (SELECT domain, CAST(2 * sum(tokens) AS BIGINT) AS cap, CAST(CASE domain WHEN 'domain0' THEN 4 WHEN 'domain1' THEN 3 WHEN 'domain2' THEN 2 ELSE 1 END AS BIGINT) AS w,
+                      (SELECT CAST(sum(tokens) AS BIGINT) * 3 // 5 FROM leaves) AS budget FROM leaves GROUP BY domain),
+        b1 AS (SELECT *, CASE WHEN turn IS NULL THEN cap ELSE least(cap, (budget - turn.past) * w // turn.left_w) END AS own FROM (
+            SELECT *, first_value(CASE WHEN (budget - past) * w <= cap * left_w THEN {'past': past, 'left_w': left_w} END IGNORE NULLS) OVER ( ORDER BY cap / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS turn FROM (
+            SELECT *, CAST(coalesce(sum(cap) OVER ( ORDER BY cap / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS past,
+                   CAST(sum(w) OVER ( ORDER BY cap / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS left_w FROM n1))),
+        n2 AS (SELECT l.domain, lang, CAST(2 * sum(tokens) AS BIGINT) AS cap, CAST(CASE lang WHEN 'en' THEN 6 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END AS BIGINT) AS w, any_value(b1.own) AS budget
+               FROM leaves l JOIN b1 USING (domain) GROUP BY l.domain, lang),
+        b2 AS (SELECT *, CASE WHEN turn IS NULL THEN cap ELSE least(cap, (budget - turn.past) * w // turn.left_w) END AS own FROM (
+            SELECT *, first_value(CASE WHEN (budget - past) * w <= cap * left_w THEN {'past': past, 'left_w': left_w} END IGNORE NULLS) OVER (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS turn FROM (
+            SELECT *, CAST(coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS past,
+                   CAST(sum(w) OVER (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS left_w FROM n2))),
+        n3 AS (SELECT l.*, CAST(2 * tokens AS BIGINT) AS cap, CAST(1 AS BIGINT) AS w, b2.own AS budget FROM leaves l JOIN b2 USING (domain, lang)),
+        b3 AS (SELECT domain, lang, source, tokens, own AS leaf_budget, CASE WHEN tokens > 0 THEN own // tokens ELSE 1 END AS full_epochs FROM (SELECT *, CASE WHEN turn IS NULL THEN cap ELSE least(cap, (budget - turn.past) * w // turn.left_w) END AS own FROM (
+            SELECT *, first_value(CASE WHEN (budget - past) * w <= cap * left_w THEN {'past': past, 'left_w': left_w} END IGNORE NULLS) OVER (PARTITION BY domain, lang ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS turn FROM (
+            SELECT *, CAST(coalesce(sum(cap) OVER (PARTITION BY domain, lang ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS past,
+                   CAST(sum(w) OVER (PARTITION BY domain, lang ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS left_w FROM n3)))),
+        r AS (SELECT s.*, leaf_budget, full_epochs, CASE WHEN tokens > 0 THEN leaf_budget - full_epochs * tokens ELSE 0 END AS rest, md5('42|' || full_epochs || '|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
+              FROM s JOIN b3 USING (domain, lang, source)),
+        c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM r)
+        SELECT doc_id, domain, lang, source, n_tokens, leaf_budget, CAST(CASE WHEN full_epochs >= 2 OR rest = 0 OR upto > rest THEN full_epochs ELSE full_epochs + 1 END AS BIGINT) AS copies FROM c""",
 }
