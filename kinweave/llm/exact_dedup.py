@@ -44,12 +44,17 @@ def _winner(null_id: int = 2**63 - 1):
 
 def fold(spark: SparkSession, state_dir: str) -> DataFrame:
     """Fold what the log holds and the state has not seen; rows (text_sha256, group_size, first) of all state."""
-    provider, old = "spark.sql.streaming.stateStore.providerClass", None
-    old = spark.conf.get(provider, None)
-    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB")}
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+    # Without preallocated files: 4 MB for each partition's manifest, however little state it has.
+    rocksdb = "spark.sql.streaming.stateStore.rocksdb"
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        f"{rocksdb}.boundedMemoryUsage": "true",
+        f"{rocksdb}.maxMemoryUsageMB": "256",
+        f"{rocksdb}.allowFAllocate": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         log = spark.readStream.schema(LOG_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{state_dir}/log")
         state = log.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min(_winner()).alias("first"))
@@ -61,7 +66,7 @@ def fold(spark: SparkSession, state_dir: str) -> DataFrame:
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
         query.awaitTermination()
     finally:
-        for k, v in {provider: old, **kept}.items():
+        for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema("text_sha256 string, group_size bigint, first struct<neg_points:bigint,id_order:bigint,row_key:bigint,doc_id:bigint,locator:string>, batch_id bigint").parquet(f"{state_dir}/updates")
 
