@@ -60,7 +60,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.dedup(_docs(spark, sf_dir)).select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language_id, op4_token_counts, op5_quality_rules, op7_mixing, op8_simhash)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from kinweave.llm import sentencepiece_bpe
+
+    return sentencepiece_bpe.encode(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language_id, op4_token_counts, op5_quality_rules, op7_mixing, op8_simhash, op10_sentencepiece)}
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": r"""
