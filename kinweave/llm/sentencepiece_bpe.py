@@ -37,7 +37,7 @@ SPACE = "▁"
 #: Bytes of distinct segments that are indexed at a time.
 INDEX_BYTES = 1_000_000
 #: Segments a worker remembers; at this number it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Places of the table of decided pairs (a power of two).
 PAIR_SLOTS = 1 << 20
 
@@ -203,10 +203,9 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known.clear()
-        self.store = [np.zeros(0, np.int32)]
-        self.start: list[int] = []
-        self.count: list[int] = []
-        self.stored = 0
+        # The ids of all known segments one after the other, and where each one's begin.
+        self.store = np.zeros(0, np.int32)
+        self.at = np.zeros(1, np.int64)
 
     # -- suffix array ------------------------------------------------------------------------------------------
 
@@ -267,8 +266,9 @@ class Encoder:
             self.slot_ok[where] = self.slot_ok[where] & (self.slot_key[where] == key[miss]) | ok[back] & (self.slot_key[where] == key[miss])
         return out
 
-    def lattice(self, texts: list[str]) -> list[np.ndarray]:
-        """Encodings of segments without runs of ▁; unknown characters come out as the number of pieces."""
+    def lattice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encodings of segments without runs of ▁, one after the other, and their sizes; unknown characters come out
+        as the number of pieces."""
         raw = [t.encode() for t in texts]
         size = np.array([len(r) for r in raw], np.int64)
         buf = np.frombuffer(b"\xff".join(raw) + b"\xff" * (8 * self.words + 8), np.uint8)
@@ -326,9 +326,8 @@ class Encoder:
             got_at.append(at)
             at = back[at]
         s, p, e = np.concatenate(got_seg), np.concatenate(got_piece), np.concatenate(got_at)
-        order = np.lexsort((e, s))
-        p = p[order].astype(np.int32)
-        return np.split(p, np.cumsum(np.bincount(s, minlength=len(raw)))[:-1])
+        # Places rise with segments, so sorting by place sorts by segment too.
+        return p[np.argsort(e)].astype(np.int32), np.bincount(s, minlength=len(raw))
 
     # -- texts -------------------------------------------------------------------------------------------------
 
@@ -347,32 +346,38 @@ class Encoder:
         return np.array(out, np.int32)
 
     def _learn(self, segments: list[str]) -> None:
-        runs = [s for s in segments if SPACE * 2 in s]
-        plain = [s for s in segments if s and SPACE * 2 not in s]
-        found = {s: np.array(self.m.merge(s), np.int32) for s in runs}
-        part: list[str] = []
+        """Encode segments that aren't known yet."""
+        plain: list[str] = []
         size = 0
-        for s in plain:
-            part.append(s)
+        for s in segments:
+            if not s or SPACE * 2 in s:
+                self._remember([s], self._whole([self.m.merge(s)], [s]))
+                continue
+            plain.append(s)
             size += len(s) + 1
             if size > INDEX_BYTES:
-                found.update(zip(part, self.lattice(part), strict=True))
-                part, size = [], 0
-        if part:
-            found.update(zip(part, self.lattice(part), strict=True))
-        none = len(self.m.pieces)
-        whole = np.concatenate([np.zeros(0, np.int32), *found.values()])
-        if (whole == none).any():
-            found = {s: self._bytes_for_unknown(i, s) if (i == none).any() else i for s, i in found.items()}
-            whole = np.concatenate([np.zeros(0, np.int32), *found.values()])
-        at = self.stored
-        for s, ids in found.items():
-            self.known[s] = len(self.start)
-            self.start.append(at)
-            self.count.append(len(ids))
-            at += len(ids)
-        self.store.append(whole)
-        self.stored = at
+                self._learn_plain(plain)
+                plain, size = [], 0
+        if plain:
+            self._learn_plain(plain)
+
+    def _learn_plain(self, part: list[str]) -> None:
+        ids, n = self.lattice(part)
+        lacking = np.zeros(len(part), bool)
+        owner = np.repeat(np.arange(len(part)), n)
+        lacking[owner[ids == len(self.m.pieces)]] = True
+        end = np.cumsum(n)
+        for i in np.flatnonzero(lacking).tolist():
+            self._remember([part[i]], self._whole([ids[end[i] - n[i] : end[i]]], [part[i]]))
+        self._remember([t for t, x in zip(part, lacking.tolist(), strict=True) if not x], (ids[~lacking[owner]], n[~lacking]))
+
+    def _whole(self, rows: list, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows = [self._bytes_for_unknown(np.array(r, np.int32), t) for r, t in zip(rows, texts, strict=True)]
+        return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
+
+    def _remember(self, segments: list[str], found: tuple[np.ndarray, np.ndarray]) -> None:
+        self.known.update(zip(segments, range(len(self.known), len(self.known) + len(segments)), strict=True))
+        self.fresh.append(found)
 
     def segments(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Segments of the escaped texts (which may begin with empty ones), and where each text's begin and end."""
@@ -413,17 +418,15 @@ class Encoder:
         if len(self.known) + len(new) > REMEMBERED:
             self._forget()
             new = words
-        if "" in new:
-            self.known[""] = len(self.start)
-            self.start.append(0)
-            self.count.append(0)
-        self._learn([w for w in new if w])
-        if len(self.store) > 1:
-            self.store = [np.concatenate(self.store)]
+        self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
+        self._learn(new)
+        if self.fresh:
+            self.store = np.concatenate([self.store, *(ids for ids, _ in self.fresh)])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate([n for _, n in self.fresh]))])
         place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
-        start, count = np.array(self.start)[place], np.array(self.count)[place]
+        start, count = self.at[place], self.at[place + 1] - self.at[place]
         total = np.cumsum(count)
-        ids = self.store[0][np.repeat(start - (total - count), count) + np.arange(total[-1])]
+        ids = self.store[np.repeat(start - (total - count), count) + np.arange(total[-1])]
         total = np.concatenate([[0], total])
         return ids, total[at[1:]] - total[at[:-1]]
 
