@@ -48,6 +48,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_docs(spark, sf_dir)).drop("clean_text")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinweave.llm import quality_classifier as q
+
+    # A document's source is its host, the language section of it the path.
+    docs = _docs(spark, sf_dir)
+    return q.classify(docs, q.fit(docs, _labels(spark, sf_dir)), F.col("source"), F.col("lang"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinweave.llm import mixing
 
@@ -68,7 +76,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language_id, op4_token_counts, op5_quality_rules, op7_mixing, op8_simhash, op10_sentencepiece)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language_id, op4_token_counts, op5_quality_rules, op6_quality_classifier, op7_mixing, op8_simhash, op10_sentencepiece, pipeline)}
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": r"""
