@@ -120,6 +120,8 @@ def judge(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """Documents that pass, with their failing lines removed; the columns of `docs`, in their order."""
     struct = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    judged = judge(docs.select(struct.alias("doc_id"), "text"), rules).where("kept")
+    judged = judge(docs.select(struct.alias("doc_id"), "text"), rules)
+    # A plain filter on `kept` would be pushed below the projections, and each array be computed many times.
+    judged = judged.withColumn("kept", F.when(F.monotonically_increasing_id() >= 0, F.col("kept"))).where("kept")
     new = {"text": F.col("clean_text"), "n_chars": F.char_length("clean_text").cast("long")}
     return judged.select(*[new.get(c, F.col("doc_id")[c]).alias(c) for c in docs.columns])
