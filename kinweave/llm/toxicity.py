@@ -32,6 +32,8 @@ from kinweave.llm.token_counts import slices
 MAX_TRAIN = 10_000
 #: Entries of the lexicon at most; the strongest stay.
 MAX_LEXICON = 5_000
+#: So many of the strongest terms are also matched with misspellings; the others only as they are.
+FUZZY_TERMS = 200
 STEM_LENGTHS = (4, 5, 6)
 WINDOW = 6
 #: Tokens whose matches a worker remembers; at this number it starts anew.
@@ -100,8 +102,8 @@ class Matcher:
     stem: list[bool] = field(default_factory=lambda: [False])
 
     def __post_init__(self) -> None:
-        for term in self.lexicon:
-            node, k = 0, edits_allowed(term)
+        for rank, term in enumerate(self.lexicon):
+            node, k = 0, edits_allowed(term) if rank < FUZZY_TERMS else 0
             self.most[0] = max(self.most[0], k)
             for c in term.removesuffix("*"):
                 if c not in self.next[node]:
@@ -114,8 +116,34 @@ class Matcher:
                 self.most[node] = max(self.most[node], k)
             self.ends[node] = (term, k)
             self.stem[node] = term.endswith("*")
-        self.start = self._closed({(0, 0, "")})
-        self.step: dict[frozenset, dict[str, frozenset]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        start = self._closed({(0, 0, "")})
+        # Deterministic states by number: what they stand for, their moves (-1: none), their best match.
+        self.number: dict[frozenset, int] = {start: 0}
+        self.states: list[frozenset] = [start]
+        self.moves: list[dict[str, int]] = [{}]
+        self.best: list[tuple[float, int] | None] = [self._match_of(start)]
+
+    def _match_of(self, state: frozenset) -> tuple[float, int] | None:
+        found = [(e, -self.lexicon[self.ends[n][0]]) for n, e, due in state if not due and self.ends[n] is not None and e <= self.ends[n][1]]
+        if not found:
+            return None
+        e, w = min(found)
+        return -w, e
+
+    def _move(self, number: int, c: str) -> int:
+        after = self._after(self.states[number], c)
+        to = -1
+        if after:
+            to = self.number.setdefault(after, len(self.states))
+            if to == len(self.states):
+                self.states.append(after)
+                self.moves.append({})
+                self.best.append(self._match_of(after))
+        self.moves[number][c] = to
+        return to
 
     def _closed(self, states: set[tuple[int, int, str]]) -> frozenset:
         """With letters of the term left out; of equal states the one of fewest edits stays."""
@@ -152,23 +180,17 @@ class Matcher:
 
     def match(self, word: str) -> tuple[float, int] | None:
         """Weight and number of edits of the best match."""
-        state = self.start
+        if len(self.states) > 50_000:
+            self._forget()
+        at, moves = 0, self.moves
         for c in word:
-            moves = self.step.setdefault(state, {})
-            after = moves.get(c)
-            if after is None:
-                if len(self.step) > 200_000:
-                    self.step.clear()
-                    moves = self.step.setdefault(state, {})
-                after = moves[c] = self._after(state, c)
-            if not after:
+            to = moves[at].get(c)
+            if to is None:
+                to = self._move(at, c)
+            if to < 0:
                 return None
-            state = after
-        found = [(e, -self.lexicon[self.ends[n][0]]) for n, e, due in state if not due and self.ends[n] is not None and e <= self.ends[n][1]]
-        if not found:
-            return None
-        e, w = min(found)
-        return -w, e
+            at = to
+        return self.best[at]
 
 
 FEATURES = 5
@@ -183,9 +205,11 @@ class Scorer:
         self.hits: dict[str, tuple[float, int]] = {}
 
     def _look(self, token: str) -> tuple[float, int] | None:
+        if token.isalpha():
+            return self.matcher.match(token)
         word = EDGES.sub("", token)
         found = self.matcher.match(word) if word else None
-        plain = word.translate(LEET)
+        plain = word if word.isalpha() else word.translate(LEET)
         if plain != word and not (found and found[1] == 0) and not word.isdigit():
             again = self.matcher.match(plain)
             if again and (found is None or again[1] < found[1]):
