@@ -68,6 +68,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.dedup(_docs(spark, sf_dir)).select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinweave.llm import passage_dedup
+
+    return passage_dedup.repeated_passages(_docs(spark, sf_dir))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -82,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language_id, op4_token_counts, op5_quality_rules, op6_quality_classifier, op7_mixing, op8_simhash, op10_sentencepiece, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language_id, op4_token_counts, op5_quality_rules, op6_quality_classifier, op7_mixing, op8_simhash, op9_passage_dedup, op10_sentencepiece, pipeline)}
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": r"""
