@@ -52,7 +52,7 @@ def script_of(word: str) -> str:
 
 
 def grams(word: str) -> Iterator[str]:
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     for n in ORDERS:
         for i in range(len(w) - n + 1):
             yield w[i : i + n]
@@ -163,7 +163,7 @@ class Labeller:
         some = np.flatnonzero(pc.greater(pc.utf8_length(words), 0).to_numpy(zero_copy_only=False))
         if not len(some):
             return out
-        text = [f"<{w[:40]}>" for w in words.take(pa.array(some)).to_pylist()]
+        text = [f"<{w}>" for w in words.take(pa.array(some)).to_pylist()]
         code = np.frombuffer("".join(text).encode("utf-32-le"), np.uint32).astype(np.uint64)
         size = np.fromiter(map(len, text), np.int64, len(text))
         begin = np.cumsum(size) - size

@@ -1,6 +1,8 @@
 """Toxicity by fuzzy lexicon matching in context.
 
-A lexicon (whole words, and stems that stand for all their continuations) is learned from labelled training rows.
+A lexicon (whole words, and stems that stand for all their continuations) is learned from labelled training rows;
+a term counts once for each pair of words it is seen between at some distance, so that the words of a text with
+many copies don't pass for terms.  A near form of a term that clean training rows use as a word of its own is no misspelling.
 Tokens are matched by the intersection of Levenshtein automata with the lexicon's trie: an automaton state is the
 set of (trie node, edits so far) that a token's prefix can reach; states are made deterministic on first use, so a
 token costs one table look-up per character and most tokens die after a few.  A match is scored in a window of
@@ -32,14 +34,21 @@ from kinweave.llm.token_counts import slices
 MAX_TRAIN = 10_000
 #: Entries of the lexicon at most; the strongest stay.
 MAX_LEXICON = 5_000
-#: So many of the strongest terms are also matched with misspellings; the others only as they are.
-FUZZY_TERMS = 200
+#: Words from a term to those that tell one place of it from another; fixed phrases up to this long are no hindrance.
+APART = 4
+#: What a match is worth for each misspelling in it.
+MISSPELT = 0.8
+#: What it is worth near a word that addresses someone.
+ADDRESSED = 1.3
+#: And near another match.
+AMONG_OTHERS = 1.2
 STEM_LENGTHS = (4, 5, 6)
 WINDOW = 6
 #: Tokens whose matches a worker remembers; at this number it starts anew.
 REMEMBERED = 400_000
 
 LEET = str.maketrans("0134578@$!", "oieastbasi")
+WORDS = re.compile(r"[^\W\d_]{3,}")
 EDGES = re.compile(r"^[^\w@$]+|[^\w@$!]+$|!+$")
 OPEN = "\"'“‘«„‹"
 CLOSE = "\"'”’»“›"
@@ -52,8 +61,11 @@ ADDRESS = frozenset("you your you're youre ur u yourself tu toi ton vous votre d
 
 def terms_of(text: str) -> set[str]:
     """Distinct words of a text, and the stems they start with (marked by `*`)."""
-    words = set(re.findall(r"[^\W\d_]{3,40}", text.lower()))
-    return words | {w[:k] + "*" for w in words for k in STEM_LENGTHS if len(w) > k}
+    return {t for w in set(WORDS.findall(text.lower())) for t in forms(w)}
+
+
+def forms(word: str) -> list[str]:
+    return [word, *(word[:k] + "*" for k in STEM_LENGTHS if len(word) > k)]
 
 
 def choose_terms(stats: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
@@ -72,14 +84,16 @@ def choose_terms(stats: list[tuple[str, int, int]], n_toxic: int, n_clean: int)
             found[term] = odds
     # A stem replaces the words and longer stems below it; a word stays if no chosen stem explains it.
     stems = sorted((t[:-1] for t in found if t.endswith("*")), key=len)
-    counts = {t: (a, b) for t, a, b in stats if t in found or t.endswith("*")}
+    counts = {t: a for t, a, _ in stats if t in found}
     kept: dict[str, float] = {}
     for s in stems:
-        if not any(s.startswith(k[:-1]) for k in kept) and s + "*" in found:
-            below = [a for t, (a, _) in counts.items() if t in found and not t.endswith("*") and t.startswith(s)]
+        if not any(s.startswith(k[:-1]) for k in kept):
+            below = [a for t, a in counts.items() if not t.endswith("*") and t.startswith(s)]
             # One word alone is that word, not a stem.
-            if not below or max(below) < 0.9 * counts[s + "*"][0]:
-                kept[s + "*"] = found[s + "*"]
+            if not below or max(below) < 0.9 * counts[s + "*"]:
+                # The longest stem that says as much.
+                best = max((t for t in stems if t.startswith(s) and counts[t + "*"] >= 0.9 * counts[s + "*"]), key=len)
+                kept[best + "*"] = found[best + "*"]
     for t, odds in found.items():
         if not t.endswith("*") and not any(t.startswith(k[:-1]) for k in kept if k.endswith("*")):
             kept[t] = odds
@@ -102,8 +116,8 @@ class Matcher:
     stem: list[bool] = field(default_factory=lambda: [False])
 
     def __post_init__(self) -> None:
-        for rank, term in enumerate(self.lexicon):
-            node, k = 0, edits_allowed(term) if rank < FUZZY_TERMS else 0
+        for term in self.lexicon:
+            node, k = 0, edits_allowed(term)
             self.most[0] = max(self.most[0], k)
             for c in term.removesuffix("*"):
                 if c not in self.next[node]:
@@ -193,18 +207,26 @@ class Matcher:
         return self.best[at]
 
 
-FEATURES = 5
+FEATURES = 2
 
 
 class Scorer:
-    """Features of a text: window scores of exact and of misspelled matches, summed and at most, and their number."""
+    """Features of a text: window scores of matches, summed and at most.
+
+    `other_words`: words near a term that are no misspellings of it.
+    """
 
-    def __init__(self, lexicon: dict[str, float]) -> None:
+    def __init__(self, lexicon: dict[str, float], other_words: frozenset[str] = frozenset()) -> None:
         self.matcher = Matcher(lexicon)
+        self.other_words = other_words
         self.seen: set[str] = set()
         self.hits: dict[str, tuple[float, int]] = {}
 
     def _look(self, token: str) -> tuple[float, int] | None:
+        found = self._nearest(token)
+        return None if found and found[1] and EDGES.sub("", token) in self.other_words else found
+
+    def _nearest(self, token: str) -> tuple[float, int] | None:
         if token.isalpha():
             return self.matcher.match(token)
         word = EDGES.sub("", token)
@@ -216,10 +238,10 @@ class Scorer:
                 found = (again[0], again[1] + 1)
         return found
 
-    def features(self, text: str | None) -> list[float]:
-        out = [0.0] * FEATURES
+    def matches(self, text: str | None) -> tuple[list[str], list[int]]:
+        """The text's tokens, and the places of those that match."""
         if not text or not self.matcher.lexicon:
-            return out
+            return [], []
         tokens = text.lower().split()
         distinct = set(tokens)
         new = distinct - self.seen
@@ -233,8 +255,12 @@ class Scorer:
                 if (m := self._look(t)) is not None:
                     self.hits[t] = m
         if self.hits.keys().isdisjoint(distinct):
-            return out
-        at = [i for i, t in enumerate(tokens) if t in self.hits]
+            return tokens, []
+        return tokens, [i for i, t in enumerate(tokens) if t in self.hits]
+
+    def features(self, text: str | None) -> list[float]:
+        tokens, at = self.matches(text)
+        total = most = 0.0
         places = set(at)
         for i in at:
             weight, edits = self.hits[tokens[i]]
@@ -246,15 +272,13 @@ class Scorer:
             if bare & REPORTING:
                 factor *= 0.6
             if bare & ADDRESS:
-                factor *= 1.3
+                factor *= ADDRESSED
             if any(j in places for j in range(i - WINDOW, i + WINDOW + 1) if j != i):
-                factor *= 1.2
-            score = min(weight, 8.0) / 8.0 * factor
-            k = 0 if edits == 0 else 2
-            out[k] += score
-            out[k + 1] = max(out[k + 1], score)
-        out[4] = float(len(at))
-        return [math.log1p(out[0]), out[1], math.log1p(out[2]), out[3], math.log1p(out[4])]
+                factor *= AMONG_OTHERS
+            score = min(weight, 8.0) / 8.0 * factor * MISSPELT**edits
+            total += score
+            most = max(most, score)
+        return [math.log1p(total), most]
 
     @staticmethod
     def _quoted(tokens: list[str], i: int) -> bool:
@@ -283,6 +307,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int
 class Model:
     lexicon: dict[str, float]
     weights: list[float]
+    other_words: frozenset[str] = frozenset()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
@@ -316,11 +341,36 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
             return Model({}, [0.0] * FEATURES + [8.0 if share else -8.0])
         stats = train.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         # Terms of the bounded sample that lean strongly to the label; chance ones have few rows and stay away.
-        lean = stats.where((F.col("a") >= 4) & (F.col("a") * n0 > 10 * F.col("b") * n1))
-        lexicon = choose_terms([(r["term"], r["a"], r["b"]) for r in lean.collect()], n1, n0)
+        lean = frozenset(r["term"] for r in stats.where((F.col("a") >= 4) & (F.col("a") * n0 > 10 * F.col("b") * n1)).select("term").collect())
 
-        def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = set()
+                for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    words = WORDS.findall(t.lower())
+                    around = [""] * APART + words + [""] * APART
+                    for before, word, after in zip(around, words, around[2 * APART :], strict=False):
+                        rows.update((term, y, f"{before} {after}") for term in forms(word) if term in lean)
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.string()))], names=["term", "y", "place"])
+
+        places = train.mapInArrow(between, "term string, y int, place string").distinct().groupBy("term").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b"))
+        lexicon = choose_terms([(r["term"], r["a"], r["b"]) for r in places.collect()], n1, n0)
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(lexicon)
+            for b in batches:
+                rows = []
+                for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    tokens, at = scorer.matches(t)
+                    rows += [(w, y) for w in {EDGES.sub("", tokens[i]) for i in at if scorer.hits[tokens[i]][1]}]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32()))], names=["word", "y"])
+
+        # Near forms of the bounded sample that are no rarer in clean rows than in others.
+        forms_seen = train.mapInArrow(near, "word string, y int").groupBy("word").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b"))
+        other_words = frozenset(r["word"] for r in forms_seen.where(F.col("b") * n1 * 5 >= F.col("a") * n0).select("word").collect())
+
+        def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(lexicon, other_words)
             for b in batches:
                 x = pa.array([scorer.features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([b.column(1), x], names=["y", "x"])
@@ -328,10 +378,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
         known = train.mapInArrow(features, "y int, x array<double>").collect()
         x = np.array([r["x"] for r in known], float)
         y = np.array([r["y"] for r in known], float)
-        # Few labelled rows have misspellings: they count at least 0.8 times what the same match unaltered does.
-        w = fit_logistic(x, y, penalty=0.1)
-        w[2], w[3] = max(w[2], 0.8 * w[0], 0.0), max(w[3], 0.8 * w[1], 0.0)
-        return Model(lexicon, [float(v) for v in w])
+        # Few labelled rows are misspelt: toxic ones also count as if each match were misspelt and stood alone.
+        more, less = x[y == 1], MISSPELT / ADDRESSED / AMONG_OTHERS
+        more = np.stack([np.log1p(np.expm1(more[:, 0]) * less), more[:, 1] * less], axis=1)
+        w = fit_logistic(np.vstack([x, more]), np.concatenate([y, np.ones(len(more))]), penalty=0.1)
+        return Model(lexicon, [float(v) for v in w], other_words)
     finally:
         train.unpersist()
 
@@ -340,7 +391,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, w = Scorer(model.lexicon), np.array(model.weights)
+        scorer, w = Scorer(model.lexicon, model.other_words), np.array(model.weights)
         for b in batches:
             texts = b.column(1).cast(pa.large_string())
             x = np.array([scorer.features(t) for part in slices(texts) for t in part.to_pylist()], float).reshape(-1, FEATURES)
