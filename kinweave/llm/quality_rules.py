@@ -72,8 +72,6 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-
-
 def judge(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, kept, and the cleaned text with its counts."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -90,13 +88,15 @@ def judge(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     count = lambda x, pattern: F.regexp_count(x, F.lit(pattern))
 
     def fails(x: Column) -> Column:
+        # The counts are only made for lines that hold what they count: `&` stops at the first false side.
         words = count(x, r"[^ \t-\r]+")
+        marked = x.rlike(r"[|»›•·#*$%&<>]|!!")
         navigation = count(x, r"[|»›•·]") > rules.max_separator_share * words
         symbols = count(x, r"[#*$%&|<>]") > rules.max_symbol_share * words
         shouting = count(x, r"!!") > rules.max_shout_share * words
-        bare = (words >= rules.unpunctuated_words) & ~x.rlike(r"[.!?…。！？।؟:;,]")
-        boiler = (words <= rules.boilerplate_words) & x.rlike(rules.boilerplate)
-        return navigation | symbols | shouting | bare | boiler
+        bare = ~x.rlike(r"[.!?…。！？।؟:;,]") & (words >= rules.unpunctuated_words)
+        boiler = ~x.rlike(rf"^[ \t-\r]*+(?:[^ \t-\r]++[ \t-\r]++){{{rules.boilerplate_words}}}[^ \t-\r]") & x.rlike(rules.boilerplate)
+        return (marked & (navigation | symbols | shouting)) | bare | boiler
 
     d = d.withColumn("good", F.filter("lines", lambda x: ~fails(x)))
     d = d.withColumn("kept_chars", F.char_length(F.regexp_replace(F.array_join("good", ""), SPACE + "+", "")).cast("long"))
