@@ -38,21 +38,18 @@ def pass_surname(a: DataFrame, b: DataFrame, config: LinkConfig) -> DataFrame:
     return hit[0].unionByName(hit[1]).distinct()
 
 
-def surname_agrees(bridges: DataFrame | None = None):
-    no = F.lit(False)
-    out = F.lit(False)
-    for k in ("last", "nysiis", "soundex"):
-        out = out | F.coalesce(F.col(f"{k}_a") == F.col(f"{k}_b"), no)
-    return out
-
-
 def pass_given(a: DataFrame, b: DataFrame, config: LinkConfig) -> DataFrame:
-    """Equal canonical given name; a common one (in the earlier census) asks for the surname too."""
+    """Equal canonical given name; a common one (in the earlier census) asks for an equal surname key too.
+
+    Rare names (fewer than `common_count` rows on the earlier side) join on the name alone; common ones join on name
+    and surname key, once for each kind of key, so that no join pairs all bearers of a common name.
+    """
     counts = a.where("canon_first_a is not null").groupBy("canon_first_a").agg(F.count("*").alias("given_count"))
-    a = _slim(a, "a").join(counts, "canon_first_a")
-    fits = same_gender() & near(config.given_window)
-    allowed = (F.col("given_count") < config.common_count) | surname_agrees()
-    return a.join(_slim(b, "b"), (F.col("canon_first_a") == F.col("canon_first_b")) & fits & allowed).select("id_a", "id_b")
+    a, b = _slim(a, "a").join(counts, "canon_first_a"), _slim(b, "b")
+    fits = same_gender() & near(config.given_window) & (F.col("canon_first_a") == F.col("canon_first_b"))
+    few, many = a.where(F.col("given_count") < config.common_count), a.where(F.col("given_count") >= config.common_count)
+    hit = [many.join(b, (F.col(f"{k}_a") == F.col(f"{k}_b")) & fits).select("id_a", "id_b") for k in ("last", "nysiis", "soundex")]
+    return few.join(b, fits).select("id_a", "id_b").unionByName(hit[0].unionByName(hit[1]).unionByName(hit[2]).distinct())
 
 
 def pass_family(pairs: DataFrame, a: DataFrame, b: DataFrame, config: LinkConfig) -> DataFrame:
