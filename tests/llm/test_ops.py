@@ -241,6 +241,18 @@ def test_passages(spark, empty):
     assert passage_dedup.repeated_passages(empty).count() == 0
 
 
+def test_parts_of_a_passage_with_an_insertion():
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    p = fresh(300)
+    for first, gap in ((50, 30), (150, 70)):
+        q = p[: 2 * first]
+        a, b = fresh(40) + q + fresh(40), fresh(40) + q[:first] + fresh(gap) + q[first:] + fresh(40)
+        for x, y in ((a, b), (b, a)):
+            parts = passage_dedup.similar_parts(*(passage_dedup.shingles([" ".join(t).encode()])[0] for t in (x, y)), 46, 0.8)
+            found = {w for s, e, *_ in parts for w in x[s : e + 4]}
+            assert set(q) <= found and all(j >= 0.8 for *_, j in parts)
+
+
 def test_tree_windows_brute_force():
     import numpy as np
 
