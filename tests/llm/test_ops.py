@@ -241,6 +241,18 @@ def test_passages(spark, empty):
     assert passage_dedup.repeated_passages(empty).count() == 0
 
 
+def test_passages_with_partial_copies_first(spark):
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    p = fresh(60)
+    rows = [(k, fresh(100) + p[k : k + 40] + fresh(100)) for k in range(20)] + [(k, fresh(100) + p + fresh(100)) for k in range(20, 24)]
+    # Edited elsewhere: the smallest id is similar to the plain text only.
+    q = fresh(60)
+    rows += [(30 + k, fresh(100) + [f"e{k}" if i in at else w for i, w in enumerate(q)] + fresh(100)) for k, at in enumerate(((12,), (48,), ()))]
+    out = passage_dedup.repeated_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in out} == {20, 21, 22, 23, 30, 31, 32}
+    assert all(any(r["doc_id"] == k and r["rep_doc_id"] == 20 and r["end_word"] - r["start_word"] >= 60 for r in out) for k in (21, 22, 23))
+
+
 def test_parts_of_a_passage_with_an_insertion():
     fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
     p = fresh(300)
