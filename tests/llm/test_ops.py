@@ -241,6 +241,17 @@ def test_passages(spark, empty):
     assert passage_dedup.repeated_passages(empty).count() == 0
 
 
+def test_passages_of_least_size_with_one_edit(spark):
+    own = random.Random(11)
+    fresh = lambda n: [f"x{own.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(300):
+        p = fresh(50)
+        rows += [(2 * k, fresh(100) + p + fresh(100)), (2 * k + 1, fresh(100) + [w if i != (20, 25, 30)[k % 3] else "edit" for i, w in enumerate(p)] + fresh(100))]
+    out = passage_dedup.repeated_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")).collect()
+    assert len({r["doc_id"] for r in out}) >= 2 * 297
+
+
 def test_passages_with_partial_copies_first(spark):
     fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
     p = fresh(60)
