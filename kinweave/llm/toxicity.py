@@ -82,7 +82,7 @@ def choose_terms(stats: list[tuple[str, int, int]], n_toxic: int, n_clean: int)
         gain = a * math.log(share / base) + (b * math.log((1 - share) / (1 - base)) if b else 0.0)
         if gain > need:
             found[term] = odds
-    # A stem replaces the words and longer stems below it; a word stays if no chosen stem explains it.
+    # A stem replaces the longer stems below it; words stay beside it, as only they are matched with misspellings.
     stems = sorted((t[:-1] for t in found if t.endswith("*")), key=len)
     counts = {t: a for t, a, _ in stats if t in found}
     kept: dict[str, float] = {}
@@ -95,7 +95,7 @@ def choose_terms(stats: list[tuple[str, int, int]], n_toxic: int, n_clean: int)
                 best = max((t for t in stems if t.startswith(s) and counts[t + "*"] >= 0.9 * counts[s + "*"]), key=len)
                 kept[best + "*"] = found[best + "*"]
     for t, odds in found.items():
-        if not t.endswith("*") and not any(t.startswith(k[:-1]) for k in kept if k.endswith("*")):
+        if not t.endswith("*"):
             kept[t] = odds
     return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:MAX_LEXICON])
 

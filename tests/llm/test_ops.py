@@ -219,6 +219,19 @@ def test_toxicity(spark, docs, empty):
     assert m.match("loweixyz") == (5.0, 0)
 
 
+def test_inflected_terms_are_matched_with_misspellings():
+    words = Counter({"idiot": 120, "idiots": 80})
+    stats = Counter()
+    for w, n in words.items():
+        for t in toxicity.forms(w):
+            stats[t] += n
+    lexicon = toxicity.choose_terms([(t, n, 0) for t, n in stats.items()], 1000, 3000)
+    m = toxicity.Matcher(lexicon)
+    assert any(t.endswith("*") for t in lexicon)
+    assert all(m.match(w) is not None for w in ("idiot", "idiots", "idiotic", "idoit", "iidot", "idoits"))
+    assert m.match("river") is None
+
+
 def test_quality_classifier(docs, empty, spark):
     lab = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(40)], "doc_id long, quality int")
     out = quality_classifier.classify(docs, quality_classifier.fit(docs, lab), F.col("source"), F.col("lang")).collect()
