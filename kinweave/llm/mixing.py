@@ -4,17 +4,19 @@ Leaves of a tree (domain, language, source) get token budgets from the root down
 among its children by weight; a child that holds less than its share (its documents, repeated `max_epochs` times)
 gets what it holds, and its shortage goes to its siblings by weight.  A subtree's capacity is what all its leaves
 hold, so a shortage leaves the subtree, for the ancestors' other children, only when every sibling is exhausted.
-All of it is integer arithmetic in windows over the (small) tree.
+All of it is integer arithmetic in windows over the tree, which has a row for each domain, language and source.
 
 A leaf's budget is then filled with whole epochs and a prefix of one more.  Each epoch has an order of its own,
 by a seeded digest of epoch and doc_id; the prefix takes documents in that order while their token sum fits.  The
 running sum is never taken over a whole leaf: documents are summed in hash-range buckets sized by the leaf's
-number of documents, and only the bucket in which the prefix ends is looked at row by row.
+number of documents, and only the bucket in which the prefix ends is looked at row by row.  What is left of it is
+the last (digest, tokens) that the prefix takes in each leaf, to which every row is compared by itself.
 
 Defined results: null lang, source or domain count as the empty name; null and empty texts have 0 tokens and join
 every prefix that reaches their place; a leaf without tokens is selected once if its budget's node exists at all;
-repeated rows count each; ties in the order do not matter, as equal digests mean equal ids; extra columns, also
-ones named like internal ones, are kept; an empty table gives an empty result.
+repeated rows count each; rows of a leaf with equal doc_id and tokens are taken by the prefix together or not at all;
+extra columns, also ones named like internal ones, are kept; very long texts are only measured; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -95,47 +97,57 @@ def _digest(mix: Mix, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(mix.seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
 
 
-def _place(digest: Column) -> Column:
-    """The digest's first 32 bits."""
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+def _taken(mix: Mix) -> Column:
+    """Copies of a row with `digest` and `n_tokens`, by its leaf's `full` and `cut`."""
+    more = F.coalesce(F.struct("digest", "n_tokens") <= F.col("cut"), F.lit(False)) | F.col("all_fit")
+    whole = (F.col("full") >= mix.max_epochs) | (F.col("rest") == 0)
+    return F.when(whole, F.col("full")).otherwise(F.col("full") + more.cast("int")).cast("long")
 
 
-def plan(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = None, tokens: Column | None = None) -> DataFrame:
-    """One row per document: doc_id, domain, lang, source, n_tokens, leaf_budget, copies."""
+def budgets(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = None, tokens: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """`docs` as rows (row, doc_id, domain, lang, source, n_tokens), and its leaves with their budget and what the prefix takes."""
     domain = numbered_domain(F.col("source")) if domain is None else domain
     tokens = estimated_tokens(F.col("text")) if tokens is None else tokens
     blank = lambda c: F.coalesce(c, F.lit(""))
-    slim = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank(domain).alias("domain"), blank(F.col("lang")).alias("lang"), blank(F.col("source")).alias("source"), tokens.alias("n_tokens")), "mix")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), blank(domain).alias("domain"), blank(F.col("lang")).alias("lang"), blank(F.col("source")).alias("source"), tokens.cast("long").alias("n_tokens"))
+    slim = materialize(rows.drop("row"), "mix")
     leaves = slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs"))
-    leaves = materialize(allocate(materialize(leaves, "leaves"), mix), "budgets")
-    n_leaves = leaves.count()
+    leaves = allocate(materialize(leaves, "leaves"), mix)
     leaves = leaves.withColumn("full", F.when(F.col("tokens") > 0, F.expr("leaf_budget DIV tokens")).otherwise(F.lit(1))).withColumn("rest", F.when(F.col("tokens") > 0, F.col("leaf_budget") - F.col("full") * F.col("tokens")).otherwise(F.lit(0)))
-    leaves = leaves.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / mix.bucket_rows)).cast("long"))
-    rows = slim.join(bounded(leaves.select(*LEVELS, "leaf_budget", "full", "rest", "buckets"), n_leaves), list(LEVELS))
-    rows = rows.withColumn("digest", _digest(mix, F.col("full"), F.col("doc_id")))
-    rows = rows.withColumn("bucket", F.expr("CAST(conv(substring(digest, 1, 8), 16, 10) AS BIGINT) * buckets DIV 4294967296"))
+    leaves = materialize(leaves.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / mix.bucket_rows)).cast("long")), "budgets")
+    n_leaves = leaves.count()
+    keyed = slim.join(bounded(leaves.select(*LEVELS, "full", "rest", "buckets"), n_leaves), list(LEVELS)).where("rest > 0").withColumn("digest", _digest(mix, F.col("full"), F.col("doc_id")))
+    keyed = keyed.withColumn("bucket", F.expr("CAST(conv(substring(digest, 1, 8), 16, 10) AS BIGINT) * buckets DIV 4294967296"))
     # The bucket in which a leaf's prefix ends, and what is left for it.
-    sums = rows.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("n_tokens").alias("sum"))
+    sums = keyed.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("n_tokens").alias("sum"), F.max(F.struct("digest", "n_tokens")).alias("last"))
     upto = F.sum("sum").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
-    ends = sums.withColumn("upto", upto).where("upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("sum")).alias("room"))).alias("end"))
-    ends = bounded(materialize(ends.select(*LEVELS, F.col("end.bucket").alias("end_bucket"), F.col("end.room").alias("room")), "ends"), n_leaves)
-    rows = rows.join(ends, list(LEVELS), "left")
-    inside = F.col("end_bucket").isNull() | (F.col("bucket") < F.col("end_bucket"))
-    sure = rows.where(F.col("end_bucket").isNull() | (F.col("bucket") != F.col("end_bucket"))).withColumn("more", F.when(inside, 1).otherwise(0))
-    order = Window.partitionBy(*LEVELS).orderBy("digest", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    edge = rows.where(F.col("bucket") == F.col("end_bucket")).withColumn("more", F.when(F.sum("n_tokens").over(order) <= F.col("room"), 1).otherwise(0))
-    out = sure.unionByName(edge)
-    whole = (F.col("full") >= mix.max_epochs) | ((F.col("rest") == 0) & F.lit(True))
-    copies = F.when(whole, F.col("full")).otherwise(F.col("full") + F.col("more")).cast("long")
-    return out.select("doc_id", *LEVELS, "n_tokens", "leaf_budget", copies.alias("copies"))
-
-
-def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The rows of `docs` as often as the mix takes them; its columns, in their order."""
-    taken = materialize(plan(docs, mix).groupBy("doc_id").agg(F.max("copies").alias("__copies")), "copies")
-    # Most documents are taken once; the others are what is looked up.
-    rare = bounded(taken.where("__copies <> 1").withColumnRenamed("doc_id", "__id"))
-    joined = docs.join(rare, docs["doc_id"].cast("long").eqNullSafe(rare["__id"]), "left")
-    often = F.coalesce(F.col("__copies"), F.lit(1))
-    repeated = joined.withColumn("__k", F.explode(F.when(often > 0, F.sequence(F.lit(1), F.greatest(often, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    sums = materialize(sums.withColumn("upto", upto), "sums")
+    ends = sums.where("upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("sum")).alias("room"))).alias("end"))
+    before = sums.where("upto <= rest").groupBy(*LEVELS).agg(F.max("last").alias("earlier"))
+    # In that bucket; equal digests and tokens have one running sum, as the frame is a range.
+    edge = keyed.join(bounded(ends, n_leaves), list(LEVELS)).where("bucket = end.bucket")
+    run = F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("digest", "n_tokens"))
+    edge = edge.withColumn("run", run).where("run <= end.room").groupBy(*LEVELS).agg(F.max(F.struct("digest", "n_tokens")).alias("inside"))
+    ended = ends.select(*LEVELS, F.lit(True).alias("ended"))
+    leaves = leaves.join(before, list(LEVELS), "left").join(edge, list(LEVELS), "left").join(ended, list(LEVELS), "left")
+    leaves = materialize(leaves.select(*LEVELS, "leaf_budget", "full", "rest", F.coalesce("inside", "earlier").alias("cut"), F.col("ended").isNull().alias("all_fit")), "cuts")
+    for old in (slim, sums):
+        discard(old)
+    return rows, bounded(leaves, n_leaves)
+
+
+def plan(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = None, tokens: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, domain, lang, source, n_tokens, leaf_budget, copies.
+
+    `tokens`: a column of `docs` with the texts' token counts where they are known; else bytes are counted.
+    """
+    rows, leaves = budgets(docs, mix, domain, tokens)
+    out = rows.drop("row").join(leaves, list(LEVELS)).withColumn("digest", _digest(mix, F.col("full"), F.col("doc_id")))
+    return out.select("doc_id", *LEVELS, "n_tokens", "leaf_budget", _taken(mix).alias("copies"))
+
+
+def mix_documents(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = None, tokens: Column | None = None) -> DataFrame:
+    """Each row of `docs` as often as the mix takes it; its columns, in their order."""
+    rows, leaves = budgets(docs, mix, domain, tokens)
+    out = rows.join(leaves, list(LEVELS)).withColumn("digest", _digest(mix, F.col("full"), F.col("doc_id")))
+    return out.withColumn("copies", _taken(mix)).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
