@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,15 +13,40 @@ SPACE = r"[ \t-\r]"
 BROADCAST_ROWS = 500_000
 
 
+#: Bytes of one batch of rows on its way to a Python worker (Spark's own default is 64 MB, for each of many workers).
+BATCH_BYTES = 4_000_000
+#: A key with so many rows is hot: there are few of these, and they are looked up by broadcast.
+HOT_ROWS = 50_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; without that setting nothing is written."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="kinweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        # One process: its warehouse folder is shared by all there is.
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
     return f"{base.rstrip('/')}/kinweave"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers by bytes, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64MB", "64m", "67108864"):
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def return_heap(spark: SparkSession) -> None:
+    """Have executors collect their garbage, so that heap which earlier steps took goes back to the system.
+
+    A Java heap that has grown stays grown until a full collection, and Python workers need their memory beside it.
+    A few tasks for each core, so that every executor gets some.
+    """
+    n = 4 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
@@ -40,9 +64,12 @@ def discard(df: DataFrame) -> None:
     """Delete a materialized table that nothing will read again."""
     path = getattr(df, "_kinweave_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def bounded(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -51,10 +78,31 @@ def bounded(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS)
     return F.broadcast(df) if n <= limit else df
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id is not in `dropped` (null equals null)."""
-    d = bounded(dropped.select(F.col("doc_id").alias("__dropped")).distinct())
-    return docs.join(d, docs["doc_id"].eqNullSafe(d["__dropped"]), "left_anti")
+def join_skewed(left: DataFrame, right: DataFrame, key: str, n: str, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """`left` joined (inner or left) to the one row of `right` for its `key`; column `n` of `right`: how many rows `left` has of it.
+
+    Up to `limit` rows of `right` are broadcast.  Beyond it only keys with HOT_ROWS rows or more are (of which there
+    are few), so that no task gets all rows of one; the others are shuffled.
+    """
+    if right.count() <= limit:
+        return left.join(F.broadcast(right), key, how)
+    hot = bounded(right.where(F.col(n) >= HOT_ROWS))
+    rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(n) < HOT_ROWS), key, how)
+    return left.join(hot, key).unionByName(rest)
+
+
+def located(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """`docs` and a column that tells each row's place: file and row number, equal each time it is read.
+
+    A table that isn't read from Parquet files as it is gets written to the shared folder first.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if not (plan.nodeName().startswith("LogicalRelation") or plan.nodeName().startswith("Relation")) or not plan.simpleString(1).endswith("parquet"):
+        docs = materialize(docs, "located")
+    m = docs.metadataColumn("_metadata")
+    return docs, F.concat_ws("#", m["file_path"], m["row_index"].cast("string"))
 
 
 def is_train(doc_id: Column) -> Column:

@@ -24,7 +24,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinweave.llm import exact_dedup
 
-    return exact_dedup.dedup(_docs(spark, sf_dir)).drop("keep_locator")
+    return exact_dedup.dedup(_docs(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +140,6 @@ ORACLES: dict[str, str] = {
                    CAST(sum(w) OVER (PARTITION BY domain, lang ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS left_w FROM n3)))),
         r AS (SELECT s.*, leaf_budget, full_epochs, CASE WHEN tokens > 0 THEN leaf_budget - full_epochs * tokens ELSE 0 END AS rest, md5('42|' || full_epochs || '|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
               FROM s JOIN b3 USING (domain, lang, source)),
-        c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM r)
+        c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, n_tokens) AS upto FROM r)
         SELECT doc_id, domain, lang, source, n_tokens, leaf_budget, CAST(CASE WHEN full_epochs >= 2 OR rest = 0 OR upto > rest THEN full_epochs ELSE full_epochs + 1 END AS BIGINT) AS copies FROM c""",
 }

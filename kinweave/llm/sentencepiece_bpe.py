@@ -13,7 +13,7 @@ side is decided by taking both pieces' merges back.  Pieces that BPE itself can'
 of `▁` (whose merges all have the same score), are left to plain merging.
 
 Defined results: null and empty texts have no pieces; characters without a piece come out as bytes; whole texts
-are encoded; repeated rows get equal results; decoding gives the text back exactly, but for a literal `▁`, which comes
+are encoded; a null doc_id is passed through; repeated rows get equal results; an empty table gives an empty result; decoding gives the text back exactly, but for a literal `▁`, which comes
 back as a space (`round_trip` is false there), and a model without byte pieces, which has its unknown piece for
 such characters; extra columns are ignored.
 """
@@ -31,13 +31,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.llm.common import small_batches
 from kinweave.llm.token_counts import slices
 
 SPACE = "▁"
-#: Bytes of distinct segments that are indexed at a time.
+#: Bytes of distinct segments that are indexed at a time (an index takes some 100 times as much memory).
 INDEX_BYTES = 1_000_000
-#: Segments a worker remembers; at this number it starts anew.
-REMEMBERED = 1_000_000
+#: Segments that a worker remembers, and characters of them; beyond either it forgets all but the ones used most.
+REMEMBERED, REMEMBERED_CHARS = 500_000, 24_000_000
+#: Rows and bytes of texts that are encoded at a time.
+SLICE = (4096, 8_000_000)
+#: Characters that segments are cut at, the first that a text doesn't hold.
+MARKS = ["\0", "\1", "\2", "\3", "\4", "\5", "\6", "\7", "\x0e", "\x0f", "\x10", "\x11", "\x12", "\x7f", "\ufdd0", "\ufdd1"]
 #: Places of the table of decided pairs (a power of two).
 PAIR_SLOTS = 1 << 20
 
@@ -203,9 +208,26 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known.clear()
-        # The ids of all known segments one after the other, and where each one's begin.
+        # The ids of all known segments one after the other, where each one's begin, and in how many slices it was.
         self.store = np.zeros(0, np.int32)
         self.at = np.zeros(1, np.int64)
+        self.uses = np.zeros(0, np.int32)
+        self.chars = 0
+
+    def _make_room(self) -> None:
+        """Forget all but the most used half of the known segments."""
+        names, size = list(self.known), np.diff(self.at)
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2])
+        length = np.cumsum([len(names[i]) for i in keep.tolist()])
+        keep = keep[: int(np.searchsorted(length, REMEMBERED_CHARS // 2, "right"))]
+        count = size[keep]
+        total = np.cumsum(count)
+        self.store = self.store[np.repeat(self.at[:-1][keep] - (total - count), count) + np.arange(total[-1] if len(total) else 0)]
+        self.at = np.concatenate([[0], total])
+        self.uses = self.uses[keep] // 2
+        self.known.clear()
+        self.known.update((names[i], k) for k, i in enumerate(keep.tolist()))
+        self.chars = int(length[len(keep) - 1]) if len(keep) else 0
 
     # -- suffix array ------------------------------------------------------------------------------------------
 
@@ -379,51 +401,72 @@ class Encoder:
         self.known.update(zip(segments, range(len(self.known), len(self.known) + len(segments)), strict=True))
         self.fresh.append(found)
 
-    def segments(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """Segments of the escaped texts (which may begin with empty ones), and where each text's begin and end."""
+    def segments(self, texts: pa.Array, mark: str) -> tuple[pa.Array, np.ndarray]:
+        """Segments of the escaped texts (which may begin with empty ones), and where each text's begin and end.
+
+        `mark` is a character that none of the texts has.
+        """
         texts = pc.fill_null(texts, "")
         if self.m.dummy_prefix:
             texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
         # Cut before each run of spaces (and ▁, which is the same) after another character, and around barriers.
-        texts = pc.replace_substring(pc.replace_substring(texts, " ", SPACE), "\n", "\0\n\0") if "\n" not in self.m.joined else pc.replace_substring(texts, " ", SPACE)
-        texts = pc.replace_substring_regex(texts, "([^▁\\x00])(▁)", "\\1\0\\2")
-        parts = pc.split_pattern(texts, "\0")
+        texts = pc.replace_substring(pc.replace_substring(texts, " ", SPACE), "\n", f"{mark}\n{mark}") if "\n" not in self.m.joined else pc.replace_substring(texts, " ", SPACE)
+        texts = pc.replace_substring_regex(texts, f"([^▁\\x{{{ord(mark):x}}}])(▁)", f"\\1{mark}\\2")
+        parts = pc.split_pattern(texts, mark)
         return parts.values, parts.offsets.to_numpy()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text's begin and end."""
         all_ids, all_n = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for part in slices(texts):
-            odd = pc.match_substring(pc.fill_null(part, ""), "\0").to_pylist() if pc.any(pc.match_substring(part, "\0")).as_py() else None
-            ids, n = self._encode_slice(part)
-            if odd and any(odd):
-                # Texts that hold the mark used for cutting are cut in Python.
-                rows = np.split(ids, np.cumsum(n)[:-1])
-                for i in [i for i, x in enumerate(odd) if x]:
-                    rows[i] = self.encode_text(part[i].as_py())
-                ids, n = np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
+        for part in slices(texts, *SLICE):
+            odd = np.flatnonzero(pc.fill_null(pc.match_substring(part, MARKS[0]), False).to_numpy(zero_copy_only=False))
+            if not len(odd):
+                ids, n = self._encode_slice(part, MARKS[0])
+            else:
+                ids, n = self._encode_odd(part, odd)
             all_ids.append(ids)
             all_n.append(n)
         n = np.concatenate(all_n)
         return np.concatenate(all_ids), np.concatenate([[0], np.cumsum(n)])
 
-    def _encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        values, at = self.segments(texts)
+    def _encode_odd(self, texts: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A slice in which the texts at `odd` hold the usual mark: each goes with the first mark it has not."""
+        by: dict[str | None, list[int]] = {MARKS[0]: np.setdiff1d(np.arange(len(texts)), odd).tolist()}
+        for i in odd.tolist():
+            t = texts[i].as_py()
+            by.setdefault(next((m for m in MARKS if m not in t), None), []).append(i)
+        rows: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        for mark, own in by.items():
+            if mark is None:
+                for i in own:
+                    rows[i] = self.encode_text(texts[i].as_py())
+            elif own:
+                ids, n = self._encode_slice(texts.take(pa.array(own)), mark)
+                for i, r in zip(own, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                    rows[i] = r
+        return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
+
+    def _encode_slice(self, texts: pa.Array, mark: str) -> tuple[np.ndarray, np.ndarray]:
+        values, at = self.segments(texts, mark)
         coded = values.slice(at[0], at[-1] - at[0]).dictionary_encode()
         at = (at - at[0]).astype(np.int64)
         if not len(coded):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         words = coded.dictionary.to_pylist()
         new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self._forget()
-            new = words
+        if self.known and (len(self.known) + len(new) > REMEMBERED or self.chars + sum(map(len, new)) > REMEMBERED_CHARS):
+            self._make_room()
+            new = [w for w in words if w not in self.known]
         self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
         self._learn(new)
         if self.fresh:
             self.store = np.concatenate([self.store, *(ids for ids, _ in self.fresh)])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate([n for _, n in self.fresh]))])
-        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
+            self.chars += sum(map(len, new))
+        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.uses[place] += 1
+        place = place[coded.indices.to_numpy()]
         start, count = self.at[place], self.at[place + 1] - self.at[place]
         total = np.cumsum(count)
         ids = self.store[np.repeat(start - (total - count), count) + np.arange(total[-1])]
@@ -431,7 +474,7 @@ class Encoder:
         return ids, total[at[1:]] - total[at[:-1]]
 
     def encode_text(self, text: str | None) -> np.ndarray:
-        """One text, cut in Python."""
+        """One text that holds every mark, cut in Python."""
         if not text:
             return np.zeros(0, np.int32)
         escaped = (SPACE if self.m.dummy_prefix else "") + text.replace(" ", SPACE)
@@ -474,6 +517,7 @@ class Decoder:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_pieces, ids, and round_trip: whether decoding the ids gives the text's bytes back."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
@@ -481,7 +525,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             ids_of, texts_of = b.column(0), b.column(1).cast(pa.large_string())
             done = 0
-            for part in slices(texts_of, 4096, 8_000_000):
+            for part in slices(texts_of, *SLICE):
                 ids, at = encoder.encode(part)
                 again = decoder.decode(ids, at)
                 same = pc.equal(again, pc.fill_null(part, "").cast(pa.large_binary()))
@@ -493,7 +537,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, text of rows with doc_id, ids."""
+    """doc_id, text of rows with doc_id, ids.
+
+    Null ids give an empty text, ids of bytes that are no UTF-8 a replacement character; a null doc_id is passed
+    through, repeated rows stay, extra columns are ignored, an empty table gives an empty result.
+    """
+    small_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model_of(path))

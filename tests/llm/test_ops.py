@@ -55,6 +55,39 @@ def test_exact_dedup(docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
+def weak(norm):
+    """A digest that only tells lengths apart."""
+    return F.char_length(norm).cast("string")
+
+
+def test_texts_with_one_digest_are_told_apart(spark, docs, rows):
+    from kinweave.llm.common import new_path
+
+    groups = Counter(re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t, *_ in rows)
+    out = exact_dedup.dedup(docs, digest=weak).collect()
+    assert sum(r["kept"] for r in out) == len(groups) and sorted(r["group_size"] for r in out) == sorted(n for n in groups.values() for _ in range(n))
+    # Across runs too, by the text that the state's locator leads to.
+    state = new_path(spark, "test")
+    first = spark.createDataFrame([(1, "abc"), (2, "wxyz")], "doc_id long, text string")
+    assert exact_dedup.dedup(first, state, weak).where("kept").count() == 2
+    second = spark.createDataFrame([(3, "x y z"), (None, "w x y z")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in exact_dedup.dedup(second, state, weak).collect()}
+    assert out[1]["group_size"] == 1 and out[3]["group_size"] == 1 and out[1]["kept"] and out[3]["kept"]
+    assert out[2]["group_size"] == 2 and [out[2]["kept"], out[None]["kept"]] == [False, True] and out[2]["keep_id"] is None
+
+
+def test_null_ids_across_runs(spark):
+    from kinweave.llm.common import new_path
+
+    one = spark.createDataFrame([(None, "same text")], "doc_id long, text string")
+    state = new_path(spark, "test")
+    exact_dedup.dedup(one, state).collect()
+    out = exact_dedup.dedup(one, state).collect()
+    assert [r["group_size"] for r in out] == [2, 2] and sum(r["kept"] for r in out) == 1
+    many = spark.createDataFrame([(None, "a"), (None, "b"), (None, "b"), (4, "a")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in exact_dedup.drop_copies(many).collect()) == [(0, "b"), (4, "a")]
+
+
 def test_dedup_state_continues(spark, docs):
     from kinweave.llm.common import new_path
 
@@ -118,30 +151,55 @@ def brute_components(fps):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("cell_pairs", [64, 1])
-def test_simhash(docs, rows, empty, cell_pairs):
-    have = docs.where("doc_id is not null")
-    out = {r["doc_id"]: r for r in simhash.dedup(have, cell_pairs=cell_pairs).collect()}
-    fps = {d: brute_fingerprint(t) for d, t, *_ in rows if d is not None and d != rows[-2][0]}
-    assert all(out[d]["fp"] & (2**64 - 1) == f for d, f in fps.items())
-    want = brute_components({d: out[d]["fp"] & (2**64 - 1) for d in out})
-    assert {d: r["component_id"] for d, r in out.items()} == want
-    assert simhash.dedup(empty).count() == 0
-
-
-@pytest.mark.parametrize("cell_pairs", [64, 2])
-def test_links_keep_components(spark, cell_pairs):
+def test_simhash(spark, docs, rows, empty):
+    out = {r["doc_id"]: r for r in simhash.dedup(docs).collect()}
+    fps = {d: brute_fingerprint(t) for d, t, *_ in rows}
+    assert {d: r["fp"] & (2**64 - 1) for d, r in out.items()} == fps
+    want = brute_components({9**9 if d is None else d: f for d, f in fps.items()})
+    assert {9**9 if d is None else d: r["component_id"] for d, r in out.items()} == want
+    assert simhash.dedup(empty).count() == 0 and simhash.drop_near_copies(empty).count() == 0
+    # One row of each component stays, also of repeated rows and of rows without a doc_id.
+    again = docs.unionByName(docs).unionByName(docs.where("doc_id is null"))
+    kept = simhash.drop_near_copies(again)
+    assert kept.columns == docs.columns and kept.count() == len(set(want.values()))
+    nulls = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "quite another text")], "doc_id long, text string")
+    assert simhash.drop_near_copies(nulls).count() == 2
+
+
+def test_embedding_bounds_the_distance(spark):
+    own = random.Random(3)
+    pairs = []
+    for _ in range(300):
+        u = own.getrandbits(64)
+        v = u
+        for _ in range(own.randrange(5)):
+            v ^= 1 << own.randrange(64)
+        pairs.append((u - (1 << 64) if u >> 63 else u, v - (1 << 64) if v >> 63 else v))
+    pairs += [(0, -1), (-1, -1), (-(1 << 63), 0)]
+    d = spark.createDataFrame(pairs, "u long, v long").select("u", "v", simhash.embed(F.col("u")).alias("pu"), simhash.embed(F.col("v")).alias("pv"))
+    d = d.withColumn("shared", F.arrays_overlap(simhash._cells(F.col("pu")), simhash._cells(F.col("pv"))))
+    for r in d.collect():
+        seg = [[bin((x & (2**64 - 1)) >> k & 15).count("1") for k in range(0, 64, 4)] for x in (r["u"], r["v"])]
+        assert [r["pu"] >> k & 15 for k in range(0, 64, 4)] == seg[0]
+        manhattan = sum(abs(a - b) for a, b in zip(*seg, strict=True))
+        assert manhattan <= ((r["u"] ^ r["v"]) & (2**64 - 1)).bit_count() and r["shared"] == (manhattan <= 2)
+
+
+def test_links_keep_components(spark):
     from kinweave.llm.common import components
 
-    fps = {rng.getrandbits(64) for _ in range(60)}
+    fps = {rng.getrandbits(64) for _ in range(60)} | {0, 1, 2**64 - 1, 2**63}
     for f in list(fps)[:20]:
         for _ in range(15):
             for _ in range(rng.randrange(1, 4)):
                 f ^= 1 << rng.randrange(64)
             fps.add(f)
+    # A full ball around one value: a cell with very many fingerprints.
+    fps |= {0x1234567 ^ 1 << i ^ 1 << j for i in range(20) for j in range(20)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    got = {r["node"]: r["root"] for r in components(simhash.links(df, cell_pairs=cell_pairs)).collect()}
+    edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))
+    assert all(((r["u"] ^ r["v"]) & (2**64 - 1)).bit_count() <= 2 for r in edges.collect())
+    got = {r["node"]: r["root"] for r in components(edges).collect()}
     by = brute_components({i: f & (2**64 - 1) for i, f in enumerate(signed)})
     ours, theirs = defaultdict(set), defaultdict(set)
     for i, f in enumerate(signed):
@@ -150,6 +208,65 @@ def test_links_keep_components(spark, cell_pairs):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
+def sequential_mix(rows, mix):
+    """The same by plain loops: budgets by filling siblings in turn, prefixes document by document."""
+    import math
+
+    def fill(children, budget):
+        own, left, open_ = {}, budget, sorted(children, key=lambda c: (c[1] / c[2], c[0]))
+        while open_:
+            name, cap, w = open_[0]
+            weight = sum(c[2] for c in open_)
+            if left * w <= cap * weight:
+                return own | {c[0]: min(c[1], left * c[2] // weight) for c in open_}
+            own[name], left, open_ = cap, left - cap, open_[1:]
+        return own
+
+    docs = []
+    for i, (d, text, lang, source, *_) in enumerate(rows):
+        n = re.search(r"([0-9]{1,9})$", source or "")
+        docs.append((i, d, f"domain{int(n[1]) % 4}" if n else "other", lang or "", source or "", math.ceil(len((text or "").encode()) / 4)))
+    tokens = Counter()
+    for _, _, *leaf, n in docs:
+        for k in range(4):
+            tokens[tuple(leaf[:k])] += n
+    budget = {(): min(tokens[()] * mix.share[0] // mix.share[1], tokens[()] * mix.max_epochs)}
+    for depth in range(3):
+        for parent in [k for k in tokens if len(k) == depth]:
+            kids = [k for k in tokens if len(k) == depth + 1 and k[:depth] == parent]
+            budget |= {parent + (name,): b for name, b in fill([(k[-1], tokens[k] * mix.max_epochs, mix.weights[depth].get(k[-1], mix.other)) for k in kids], budget[parent]).items()}
+    out = {}
+    for leaf in [k for k in tokens if len(k) == 3]:
+        own = [x for x in docs if x[2:5] == leaf]
+        full = budget[leaf] // tokens[leaf] if tokens[leaf] else 1
+        rest = budget[leaf] - full * tokens[leaf] if tokens[leaf] else 0
+        groups = defaultdict(list)
+        for i, d, *_, n in own:
+            groups[hashlib.md5(f"{mix.seed}|{full}|{'null' if d is None else d}".encode()).hexdigest(), n].append(i)
+        used, more = 0, full < mix.max_epochs and rest > 0
+        for (_, n), ids in sorted(groups.items()):
+            used += n * len(ids)
+            more = more and used <= rest
+            out |= dict.fromkeys(ids, full + more)
+    return out
+
+
+@pytest.mark.parametrize("share", [(3, 5), (11, 10), (1, 9)])
+def test_mixing_against_a_sequential_pass(spark, docs, rows, share):
+    own = random.Random(2)
+    some = [(own.choice([None, *range(200)]), " ".join(["w"] * own.randrange(40)), own.choice(["en", "fr", "de", None]), own.choice(["s1", "s2", "s3", "x", None]), 0, "w", "c", 1) for _ in range(300)]
+    for table in (rows + rows[:7], some):
+        mix = mixing.Mix(share=share, bucket_rows=10)
+        d = spark.createDataFrame(table, DOCS)
+        want = sequential_mix(table, mix)
+        key = lambda i: (table[i][0], table[i][2] or "", table[i][3] or "", len((table[i][1] or "").encode()))
+        got = Counter(((r["doc_id"], r["lang"], r["source"], r["n_tokens"]), r["copies"]) for r in mixing.plan(d, mix).collect())
+        assert got == Counter(((*key(i)[:3], -(-key(i)[3] // 4)), n) for i, n in want.items())
+        taken = mixing.mix_documents(d.withColumn("__k", F.lit(5)).withColumn("__copies", F.lit(6)).withColumn("row", F.lit(7)), mix)
+        assert taken.columns == [*d.columns, "__k", "__copies", "row"]
+        assert Counter((r["doc_id"], r["text"], r["lang"], r["source"]) for r in taken.collect()) == sum((Counter({(table[i][0], table[i][1], table[i][2], table[i][3]): n}) for i, n in want.items() if n), Counter())
+
+
 def test_mixing(docs, empty, spark):
     out = mixing.plan(docs).collect()
     assert len(out) == docs.count() and all(0 <= r["copies"] <= 2 for r in out)
@@ -165,7 +282,7 @@ def test_mixing(docs, empty, spark):
     assert mixing.mix_documents(docs).columns == docs.columns
 
 
-def test_sentencepiece(docs, rows, empty):
+def test_sentencepiece(spark, docs, rows, empty):
     import sentencepiece
 
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -174,6 +291,9 @@ def test_sentencepiece(docs, rows, empty):
     out = {r["doc_id"]: r for r in enc.collect()}
     for d, text, *_ in rows:
         assert out[d]["ids"] == sp.encode(text or "") and out[d]["round_trip"] and out[d]["n_pieces"] == len(out[d]["ids"])
+    odd = ["a\0b \0 c\0\0", "\0", "\1 x\0", "".join(sentencepiece_bpe.MARKS) + " all  marks", " ".join(f"w{i}\0" for i in range(3000))]
+    got = sentencepiece_bpe.encode(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), path).orderBy("doc_id").collect()
+    assert [r["ids"] for r in got] == [sp.encode(t) for t in odd]
     back = {r["doc_id"]: r["text"] for r in sentencepiece_bpe.decode(enc, path).collect()}
     assert all(back[d] == (t or "") for d, t, *_ in rows)
     assert sentencepiece_bpe.encode(empty, path).count() == 0
@@ -313,7 +433,7 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     base = [" ".join(rng.choice(WORDS) + str(rng.randrange(400)) for _ in range(90)) + "." for _ in range(30)]
-    rows = [(i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate([*base, *base[:5], None, "", "short."])]
+    rows = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate([*base, *base[:5], None, "", "short."])]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     seen = [docs]
