@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next one's docs.  All but the last return the columns of documents.  Every stage works on all its predecessor
 kept: rejected documents and copies are gone, cleaned texts are what is read on, and the mix may repeat documents.
+
+Defined results: null and empty texts fail the quality rules and go; rows without a doc_id are judged like any other;
+of repeated rows one stays until the mix; ties go to the smallest doc_id, then to file order; very long texts are read
+whole; extra columns are carried to the last stage, which returns its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm import exact_dedup, mixing, quality_rules, sentencepiece_bpe, simhash
-from kinweave.llm.common import materialize
+from kinweave.llm.common import materialize, return_heap
 
 
 def clean_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +29,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays."""
+    return_heap(spark)
     return simhash.drop_near_copies(docs)
 
 
@@ -37,6 +42,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids, round_trip."""
     import public_tokenizers
 
+    return_heap(spark)
     return sentencepiece_bpe.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
