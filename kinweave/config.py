@@ -5,33 +5,76 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 
-def _inverted(groups: dict[str, str]) -> dict[str, str]:
-    return {short: full for full, shorts in groups.items() for short in shorts.split()}
+# Short forms of given names and their full names, as the decennial linker uses them (lower case).
+NICKNAMES = {
+    "sallie": "sarah", "sally": "sarah",
+    "bettie": "elizabeth", "betty": "elizabeth", "betsy": "elizabeth", "lizzie": "elizabeth", "eliza": "elizabeth", "bess": "elizabeth",
+    "polly": "mary", "mollie": "mary", "molly": "mary",
+    "fannie": "frances", "fanny": "frances", "frank_f": "frances",
+    "nannie": "nancy",
+    "kitty": "catherine", "katie": "catherine", "kate": "catherine", "cathy": "catherine",
+    "peggy": "margaret", "maggie": "margaret",
+    "patsy": "martha", "mattie": "martha", "patty": "martha",
+    "jennie": "jane", "jenny": "jane", "jenetta": "jane", "jeanette": "jane",
+    "becky": "rebecca",
+    "lou": "louisa", "louise": "louisa",
+    "vicky": "victoria",
+    "willie": "william", "billy": "william", "bill": "william", "will": "william",
+    "jim": "james", "jimmy": "james",
+    "jack": "john", "johnny": "john",
+    "hank": "henry", "harry": "henry",
+    "alex": "alexander", "sandy": "alexander",
+    "ned": "edward", "ed": "edward", "eddie": "edward",
+    "tom": "thomas", "tommy": "thomas",
+    "dick": "richard",
+    "bob": "robert", "bobby": "robert",
+    "dan": "daniel", "danny": "daniel",
+    "dave": "david",
+    "gus": "augustus",
+    "sam": "samuel",
+    "ben": "benjamin",
+    "josh": "joshua",
+    "nat": "nathaniel",
+    "abe": "abraham",
+    "tony": "anthony",
+}
 
-
-#: Given names and their short forms, as the decennial linker uses them (lower case).
-NICKNAMES = _inverted({
-    "abraham": "abe", "alexander": "sandy alex", "anthony": "tony", "augustus": "gus", "benjamin": "ben",
-    "catherine": "cathy kate katie kitty", "daniel": "danny dan", "david": "dave", "edward": "eddie ed ned",
-    "elizabeth": "bess betsy bettie betty eliza lizzie", "frances": "fanny fannie", "henry": "harry hank",
-    "james": "jimmy jim", "jane": "jeanette jenetta jenny jennie", "john": "johnny jack", "joshua": "josh",
-    "louisa": "louise lou", "margaret": "maggie peggy", "martha": "patty mattie patsy", "mary": "molly mollie polly",
-    "nancy": "nannie", "nathaniel": "nat", "rebecca": "becky", "richard": "dick", "robert": "bobby bob",
-    "samuel": "sam", "sarah": "sally sallie", "thomas": "tommy tom", "victoria": "vicky", "william": "will bill billy willie",
-})
-
-#: The schedule matcher's table (upper case), which is another one.
-SCHEDULE_NICKNAMES = _inverted({
-    "ABRAHAM": "ABE", "ALBERT": "AL", "ALEXANDER": "ALEC ALECK ALEX SANDY", "ANDREW": "ANDY", "ANTHONY": "TONY", "ARTHUR": "ART",
-    "BENJAMIN": "BEN BENJ BENNY", "CATHERINE": "CATHY KATE KATIE", "CHARLES": "CARL CHARLIE CHAS CHUCK", "CHRISTOPHER": "CHRIS KIT",
-    "DANIEL": "DAN DANNY", "DAVID": "DAVE DAVEY DAVY", "EDWARD": "ED EDDIE NED TED TEDDY", "ELIZABETH": "BETSY BETTIE BETTY ELIZA LIZZIE",
-    "FRANCES": "FANNIE FANNY", "FRANCIS": "FRAN FRANK", "FREDERICK": "FRED FREDDY", "GEORGE": "GEO", "HENRY": "HAL HARRY HEN", "ISAAC": "IKE",
-    "JAMES": "JAMIE JAS JIM JIMMY", "JANE": "JENNIE JENNY", "JOHN": "JACK JACKIE JNO JOHNNY JON JONNY", "JOSEPH": "JOE JOEY JOS",
-    "MARGARET": "MAGGIE PEGGY", "MARTHA": "MATTIE PATSY", "MARY": "MOLLIE MOLLY POLLY", "MATTHEW": "MAT MATT", "MICHAEL": "MICK MICKEY MIKE",
-    "NANCY": "NAN NANNIE", "NATHANIEL": "NAT NATE", "NICHOLAS": "NICK", "PATRICK": "PADDY PAT", "PETER": "PETE", "RICHARD": "DICK RICH RICK",
-    "ROBERT": "BOB BOBBY ROB ROBBIE ROBT", "SAMUEL": "SAM SAMMY", "SARAH": "SALLIE SALLY", "STEPHEN": "STEVE", "THOMAS": "THOS TOM TOMMY",
-    "WALTER": "WALT", "WILLIAM": "BILL BILLY WILL WILLIE WILLY WM",
-})
+# The schedule matcher's table (upper case), which is another one.
+SCHEDULE_NICKNAMES = {
+    "WM": "WILLIAM", "BILL": "WILLIAM", "BILLY": "WILLIAM", "WILL": "WILLIAM", "WILLY": "WILLIAM", "WILLIE": "WILLIAM",
+    "ROBT": "ROBERT", "ROB": "ROBERT", "BOB": "ROBERT", "BOBBY": "ROBERT", "ROBBIE": "ROBERT",
+    "JAS": "JAMES", "JIM": "JAMES", "JIMMY": "JAMES", "JAMIE": "JAMES",
+    "CHAS": "CHARLES", "CHARLIE": "CHARLES", "CHUCK": "CHARLES", "CARL": "CHARLES",
+    "THOS": "THOMAS", "TOM": "THOMAS", "TOMMY": "THOMAS",
+    "JNO": "JOHN", "JON": "JOHN", "JACK": "JOHN", "JACKIE": "JOHN", "JONNY": "JOHN", "JOHNNY": "JOHN",
+    "DAN": "DANIEL", "DANNY": "DANIEL",
+    "ED": "EDWARD", "EDDIE": "EDWARD", "NED": "EDWARD", "TED": "EDWARD", "TEDDY": "EDWARD",
+    "GEO": "GEORGE", "JOS": "JOSEPH", "JOE": "JOSEPH", "JOEY": "JOSEPH",
+    "SAM": "SAMUEL", "SAMMY": "SAMUEL",
+    "ALEX": "ALEXANDER", "ALECK": "ALEXANDER", "ALEC": "ALEXANDER", "SANDY": "ALEXANDER",
+    "PAT": "PATRICK", "PADDY": "PATRICK",
+    "MATT": "MATTHEW", "MAT": "MATTHEW",
+    "MIKE": "MICHAEL", "MICK": "MICHAEL", "MICKEY": "MICHAEL",
+    "DAVE": "DAVID", "DAVEY": "DAVID", "DAVY": "DAVID",
+    "CHRIS": "CHRISTOPHER", "KIT": "CHRISTOPHER",
+    "RICH": "RICHARD", "RICK": "RICHARD", "DICK": "RICHARD",
+    "HARRY": "HENRY", "HAL": "HENRY", "HEN": "HENRY",
+    "BEN": "BENJAMIN", "BENNY": "BENJAMIN", "BENJ": "BENJAMIN",
+    "FRED": "FREDERICK", "FREDDY": "FREDERICK",
+    "FRANK": "FRANCIS", "FRAN": "FRANCIS",
+    "ANDY": "ANDREW", "TONY": "ANTHONY", "ART": "ARTHUR", "AL": "ALBERT",
+    "WALT": "WALTER", "PETE": "PETER", "STEVE": "STEPHEN", "NICK": "NICHOLAS",
+    "NAT": "NATHANIEL", "NATE": "NATHANIEL", "ABE": "ABRAHAM", "IKE": "ISAAC",
+    "MARY": "MARY", "POLLY": "MARY", "MOLLIE": "MARY", "MOLLY": "MARY",
+    "ELIZABETH": "ELIZABETH", "BETSY": "ELIZABETH", "BETTY": "ELIZABETH", "BETTIE": "ELIZABETH", "ELIZA": "ELIZABETH", "LIZZIE": "ELIZABETH",
+    "SARAH": "SARAH", "SALLY": "SARAH", "SALLIE": "SARAH",
+    "MARGARET": "MARGARET", "PEGGY": "MARGARET", "MAGGIE": "MARGARET",
+    "MARTHA": "MARTHA", "PATSY": "MARTHA", "MATTIE": "MARTHA",
+    "NANCY": "NANCY", "NANNIE": "NANCY", "NAN": "NANCY",
+    "JANE": "JANE", "JENNIE": "JANE", "JENNY": "JANE",
+    "CATHERINE": "CATHERINE", "CATHY": "CATHERINE", "KATE": "CATHERINE", "KATIE": "CATHERINE",
+    "FRANCES": "FRANCES", "FANNY": "FRANCES", "FANNIE": "FRANCES",
+}
 
 
 @dataclass(frozen=True)
@@ -65,6 +108,7 @@ class LinkConfig:
     surname_bridges: tuple[tuple[str, str], ...] = ()
     years: tuple[int, int] = (1870, 1880)
     adjacency: int = 15
+    max_household: int = 30
     rare_count: int = 3
     common_count: int = 30
     drift_quorum: int = 3

@@ -60,29 +60,31 @@ def sigmoid(c: Column) -> Column:
 
 
 def height_in_inches(c: Column) -> Column:
-    """`5 ft 8 in` as `68.0`; other values as they are."""
-    feet = F.regexp_extract(c, r"(?i)(\d+)\s*ft", 1)
-    inches = F.regexp_extract(c, r"(?i)(\d+(?:\.\d+)?)\s*in", 1)
-    total = F.coalesce(feet.try_cast("double") * 12, F.lit(0.0)) + F.coalesce(inches.try_cast("double"), F.lit(0.0))
-    return F.when((feet != "") | (inches != ""), total.cast("string")).otherwise(c)
+    """`5 ft 8 in` as `68.0`; values without feet or inches, or with none of them, as they are."""
+    feet = F.regexp_extract(c, r"(?i)(\d+)\s*ft", 1).try_cast("double") * 12
+    inches = F.regexp_extract(c, r"(?i)([\d.]+)\s*in", 1).try_cast("double")
+    total = F.coalesce(feet, F.lit(0.0)) + F.coalesce(inches, F.lit(0.0))
+    return F.when(total > 0, total.cast("string")).otherwise(c)
 
 
 def first_year(c: Column) -> Column:
     return F.regexp_extract(c, r"(\d{4})", 1).try_cast("int")
 
 
-PREFIXES = "1SGT 1LT 2LT CAPT COL CORP CPL DR GEN LIEUT LT MAJ MISS MR MRS MS PFC PVT REV SGT".split()
+# Military and courtesy titles.
+PREFIXES = ("PVT", "COL", "SGT", "MR", "DR", "CAPT", "MRS", "LTC", "LT", "CPL", "PFC", "REV", "1SGT", "CPT", "MAJ", "GEN", "ENS", "CORP")
 
 
-def strip_prefixes(c: Column) -> Column:
-    """A name without its stacked military and courtesy titles."""
+def strip_prefixes(c: Column, bare: bool = True) -> Column:
+    """A name without its stacked titles, each followed by a blank, a dot or (`bare`) the name's end."""
     titles = "|".join(sorted(PREFIXES, key=lambda p: (-len(p), p)))
-    return F.trim(F.regexp_replace(F.trim(c), rf"(?i)^(?:(?:{titles})(?:[. ]+|$))+", ""))
+    after = r"(?:[. ]+|$)" if bare else r"[. ]+"
+    return F.regexp_replace(c, rf"(?i)^(?:(?:{titles}){after})+", "")
 
 
 def strip_punctuation(c: Column) -> Column:
     """Without punctuation other than quotes and without `_`; spaces squeezed."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"(?U)[^\w\s\"']", ""), "_", "")
+    bare = F.regexp_replace(F.regexp_replace(c, r"(?U)[^\w\s'\"“”‘’]", ""), "_", "")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
@@ -99,16 +101,19 @@ def enumerator_bonus(enum_a: Column, date_a: Column, enum_b: Column, date_b: Col
 
 
 def metaphone_agreement(a: Column, b: Column) -> Column:
-    """Two `primary:secondary` codes: 1, .8, .6, 0; null when either is missing."""
-    p = lambda c, i: F.nullif(F.trim(F.get(F.split(c, ":"), F.lit(i))), F.lit(""))
-    pa, sa, pb, sb = p(a, 0), p(a, 1), p(b, 0), p(b, 1)
-    no = F.lit(False)
-    score = F.when(pa == pb, 1.0).when(F.coalesce(pa == sb, no) | F.coalesce(sa == pb, no), 0.8).when(F.coalesce(sa == sb, no), 0.6).otherwise(0.0)
-    return F.when(pa.isNotNull() & pb.isNotNull(), score)
+    """Two `primary:secondary` codes: 1, .8, .6, 0; null when either is missing, 0 when either has no letter.
+
+    A code without secondary part has the primary one twice.
+    """
+    part = lambda c, i: F.nullif(F.regexp_replace(F.upper(F.get(F.split(c, ":"), F.lit(i))), "[^A-Z]", ""), F.lit(""))
+    pa, pb = part(a, 0), part(b, 0)
+    sa, sb = F.coalesce(part(a, 1), pa), F.coalesce(part(b, 1), pb)
+    score = F.when(pa.isNull() | pb.isNull(), 0.0).when(pa == pb, 1.0).when((pa == sb) | (sa == pb), 0.8).when(sa == sb, 0.6).otherwise(0.0)
+    return F.when((F.trim(a) != "") & (F.trim(b) != ""), score)
 
 
 def jaro_winkler(a: str | None, b: str | None) -> float:
-    """Jaro-Winkler with a prefix bonus at any similarity; half transpositions are kept."""
+    """Jaro-Winkler with a prefix bonus at any similarity; half transpositions are kept; 0 for a blank name."""
     if not a or not b:
         return 0.0
     if a == b:
@@ -138,3 +143,9 @@ def jaro_winkler(a: str | None, b: str | None) -> float:
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     known: dict = {}
     return pd.Series([known[k] if k in known else known.setdefault(k, jaro_winkler(*k)) for k in zip(a, b, strict=True)], dtype="float64")
+
+
+def jaro_winkler_upper(a: str | None, b: str | None) -> float:
+    """The schedule matcher's variant: upper case, nothing stripped, two blanks are equal."""
+    a, b = (a or "").upper(), (b or "").upper()
+    return 1.0 if a == b else jaro_winkler(a, b)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.config import LinkConfig
+from kinweave.functions import scalars as S
+from kinweave.operators.ordered import running
+from kinweave.operators.shared import settle, sized
 
 
 def sides(norm: DataFrame, config: LinkConfig) -> tuple[DataFrame, DataFrame]:
@@ -38,18 +41,55 @@ def pass_surname(a: DataFrame, b: DataFrame, config: LinkConfig) -> DataFrame:
     return hit[0].unionByName(hit[1]).distinct()
 
 
-def pass_given(a: DataFrame, b: DataFrame, config: LinkConfig) -> DataFrame:
-    """Equal canonical given name; a common one (in the earlier census) asks for an equal surname key too.
+def pass_given(a: DataFrame, b: DataFrame, config: LinkConfig, bridges: DataFrame | None = None) -> DataFrame:
+    """Equal canonical given name; a common one (in the earlier census) asks for an agreeing surname too.
 
     Rare names (fewer than `common_count` rows on the earlier side) join on the name alone; common ones join on name
-    and surname key, once for each kind of key, so that no join pairs all bearers of a common name.
+    and surname, once for each way to agree (equal, NYSIIS, Soundex, bridge), so that no join pairs all bearers of a
+    common name.
     """
     counts = a.where("canon_first_a is not null").groupBy("canon_first_a").agg(F.count("*").alias("given_count"))
     a, b = _slim(a, "a").join(counts, "canon_first_a"), _slim(b, "b")
     fits = same_gender() & near(config.given_window) & (F.col("canon_first_a") == F.col("canon_first_b"))
-    few, many = a.where(F.col("given_count") < config.common_count), a.where(F.col("given_count") >= config.common_count)
-    hit = [many.join(b, (F.col(f"{k}_a") == F.col(f"{k}_b")) & fits).select("id_a", "id_b") for k in ("last", "nysiis", "soundex")]
-    return few.join(b, fits).select("id_a", "id_b").unionByName(hit[0].unionByName(hit[1]).unionByName(hit[2]).distinct())
+    few, many = a.where(F.col("given_count") < config.common_count), a.where((F.col("given_count") >= config.common_count) & F.col("last_a").isNotNull())
+    named = b.where("last_b is not null")
+    hit = [many.join(named, (F.col(f"{k}_a") == F.col(f"{k}_b")) & fits).select("id_a", "id_b") for k in ("last", "nysiis", "soundex")]
+    if bridges is not None:
+        both = bridges.select(F.col("x").alias("last_a"), F.col("y").alias("other")).unionByName(bridges.select(F.col("y").alias("last_a"), F.col("x").alias("other")))
+        hit.append(many.join(sized(both), "last_a").join(named, (F.col("other") == F.col("last_b")) & fits).select("id_a", "id_b"))
+    out = hit[0]
+    for h in hit[1:]:
+        out = out.unionByName(h)
+    return few.join(b, fits).select("id_a", "id_b").unionByName(out.distinct())
+
+
+def gender_skips(seeds: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row n: how often a pass met records of unlike gender, which blocking leaves out.
+
+    Pass 1 counts each pair with an equal surname key, pass 2 each with an equal given name, pass 3 each unlike pair of
+    two families once for every seed that joins these.  Unlike pairs are never made: of each key they are the pairs of
+    known gender less those of the same one.
+    """
+
+    def unlike(*keys: str) -> DataFrame:
+        side = lambda df, t: df.where(F.col(f"gender_{t}").isNotNull()).groupBy(*[F.col(f"{k}_{t}").alias(k) for k in keys], F.col(f"gender_{t}").alias("g")).agg(F.count("*").alias(f"n_{t}"))
+        full = lambda df: df.where(" and ".join(f"{k} is not null" for k in keys))
+        x, y = full(side(a, "a")), full(side(b, "b"))
+        known = x.groupBy(*keys).agg(F.sum("n_a").alias("n_a")).join(y.groupBy(*keys).agg(F.sum("n_b").alias("n_b")), list(keys))
+        same = x.join(y, [*keys, "g"])
+        n = lambda df, sign: df.select((F.col("n_a") * F.col("n_b") * sign).alias("n"))
+        return n(known, 1).unionByName(n(same, -1))
+
+    def in_families() -> DataFrame:
+        per = lambda df, t: df.where(f"gender_{t} is not null and family_id_{t} is not null").groupBy(f"family_id_{t}", F.col(f"gender_{t}").alias("g")).agg(F.count("*").alias(f"n_{t}"))
+        x, y = per(a, "a"), per(b, "b")
+        joined = seeds.join(a.select("id_a", "family_id_a"), "id_a").join(b.select("id_b", "family_id_b"), "id_b").groupBy("family_id_a", "family_id_b").agg(F.count("*").alias("n"))
+        met = joined.join(x, "family_id_a").join(y.withColumnRenamed("g", "h"), "family_id_b").where("g <> h")
+        return met.select((F.col("n") * F.col("n_a") * F.col("n_b")).alias("n"))
+
+    both = unlike("nysiis", "soundex").select((-F.col("n")).alias("n"))
+    every = unlike("nysiis").unionByName(unlike("soundex")).unionByName(both).unionByName(unlike("canon_first")).unionByName(in_families())
+    return every.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
 
 
 def pass_family(pairs: DataFrame, a: DataFrame, b: DataFrame, config: LinkConfig) -> DataFrame:
@@ -63,9 +103,9 @@ def pass_family(pairs: DataFrame, a: DataFrame, b: DataFrame, config: LinkConfig
     return cells.where(~own).select("id_a", "id_b")
 
 
-def block(a: DataFrame, b: DataFrame, config: LinkConfig) -> DataFrame:
-    """id_a, id_b, passes."""
-    one, two = pass_surname(a, b, config), pass_given(a, b, config)
+def block(a: DataFrame, b: DataFrame, config: LinkConfig, bridges: DataFrame | None = None) -> DataFrame:
+    """id_a, id_b, passes (`bridges`: distinct rows x, y of surnames, x < y, known to be one)."""
+    one, two = pass_surname(a, b, config), pass_given(a, b, config, bridges)
     seeds = one.unionByName(two).distinct()
     three = pass_family(seeds, a, b, config)
     tagged = [p.withColumn("pass", F.lit(i + 1)) for i, p in enumerate((one, two, three))]
@@ -90,21 +130,57 @@ def knock_out(pairs: DataFrame, not_same: DataFrame, died: DataFrame, config: Li
     return p.withColumn("ko", ko).drop("x", "y", "denied", "died")
 
 
+def index_key(prefix: str, c: Column, strip: str = "[^A-Z0-9]") -> Column:
+    """Prefix and upper-cased value without what `strip` matches; null for blank."""
+    return F.concat(F.lit(prefix), F.nullif(F.trim(F.regexp_replace(F.upper(F.trim(c)), strip, "")), F.lit("")))
+
+
 def index_candidates(left: DataFrame, right: DataFrame, keys: dict[str, list[str]], left_id: str, right_id: str) -> DataFrame:
-    """Pairs that share any prefixed key: `keys` maps a prefix to the key columns of both sides."""
+    """Pairs that share any prefixed key, with the place (`via`) of the left's first key that they share.
+
+    `keys` maps a prefix to the key columns of both sides.
+    """
 
     def exploded(df: DataFrame, key: str, out: str) -> DataFrame:
         parts = [F.concat(F.lit(p), F.col(c)) for p, cols in keys.items() for c in cols]
-        return df.select(F.col(key).alias(out), F.explode(F.array_distinct(F.filter(F.array(*parts), lambda x: x.isNotNull()))).alias("k"))
+        return df.select(F.col(key).alias(out), F.posexplode(F.array(*parts)).alias("via", "k")).where("k is not null")
 
-    return exploded(left, left_id, "left_id").join(exploded(right, right_id, "right_id"), "k").select("left_id", "right_id").distinct()
+    hits = exploded(left, left_id, "left_id").join(exploded(right, right_id, "right_id").drop("via"), "k")
+    return hits.groupBy("left_id", "right_id").agg(F.min("via").alias("via"))
 
 
 def context_window(items: DataFrame, order: list[str], hits: DataFrame, on: list[str], radius: int = 12) -> DataFrame:
-    """Rows up to `radius` places around the hit, with their distance; file order comes from `order`."""
-    placed = items.withColumn("place", F.row_number().over(Window.orderBy(*order)))
-    centres = placed.join(hits, on, "left_semi").select(F.col("place").alias("centre"))
-    near_ = centres.select("centre", F.explode(F.sequence(F.col("centre") - radius, F.col("centre") + radius)).alias("place"))
+    """Rows up to `radius` places around each hit, with their distance; without any hit those around the first row.
+
+    `order` is the file's (a total one); `matched` tells hits from the fallback.
+    """
+    placed = settle(running(items, order, place="place"), "placed")
+    centres = placed.join(hits.select(*on).distinct(), on, "left_semi").select(F.col("place").alias("centre"), F.lit(True).alias("matched"))
+    if centres.isEmpty():
+        centres = placed.where("place = 1").select(F.col("place").alias("centre"), F.lit(False).alias("matched"))
+    near_ = centres.select("centre", "matched", F.explode(F.sequence(F.col("centre") - radius, F.col("centre") + radius)).alias("place"))
     return placed.join(near_, "place").withColumn("offset", F.col("place") - F.col("centre"))
 
 
+def close_names(names: DataFrame, column: str, threshold: float = 0.85) -> DataFrame:
+    """name_a < name_b of the distinct names (letters a to z) that Jaro-Winkler joins, without comparing all pairs.
+
+    With a prefix of four letters Jaro-Winkler is `threshold` only if Jaro is j = (threshold - .4) / .6 or more, which
+    takes m common letters with m / |a| + m / |b| >= 3 j - 1.  So for names of lengths x and y at least
+    m = ceil((3 j - 1) x y / (x + y)) letters (counted with repeats) are common, and with both names' letters in one
+    fixed order, rarest first, two such names share a letter among the first |a| - m + 1 and |b| - m + 1 of them.
+    """
+    j = (threshold - 0.4) / 0.6
+    rare_first = "zqxjkvbpygfwmucldrhsnioate"
+    w = names.select(F.col(column).alias("w")).where(F.col("w").rlike("^[a-z]+$")).distinct()
+    letters = F.transform(F.split("w", ""), lambda c, i: F.concat(F.lpad(F.instr(F.lit(rare_first), c).cast("string"), 2, "0"), c, (F.size(F.filter(F.slice(F.split(F.col("w"), ""), 1, i + 1), lambda d: d == c))).cast("string")))
+    w = settle(w.select("w", F.length("w").alias("n"), F.sort_array(letters).alias("letters")), "names")
+    # Lengths are few; each name offers its rarest letters for every other length it can be close to.
+    others = F.array_sort(F.lit([r["n"] for r in w.select("n").distinct().collect()] or [0]))
+    m = lambda x, y: F.ceil((3 * j - 1) * x * y / (x + y) - 1e-9)
+    w = w.select("w", "n", "letters", F.explode(others).alias("other"))
+    w = w.withColumn("m", F.greatest(F.lit(1), m(F.col("n"), F.col("other")))).where("m <= least(n, other)")
+    offers = w.select("w", "n", "other", F.explode(F.slice("letters", 1, (F.col("n") - F.col("m") + 1).cast("int"))).alias("letter"))
+    a = offers.select(F.col("w").alias("name_a"), F.least("n", "other").alias("x"), F.greatest("n", "other").alias("y"), F.col("n").alias("na"), "letter")
+    b = offers.select(F.col("w").alias("name_b"), F.least("n", "other").alias("x"), F.greatest("n", "other").alias("y"), F.col("other").alias("na"), "letter")
+    return a.join(b, ["x", "y", "na", "letter"]).where("name_a < name_b").select("name_a", "name_b").distinct().where(S.jaro_winkler_udf("name_a", "name_b") >= threshold)

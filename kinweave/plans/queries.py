@@ -6,13 +6,14 @@ order is a person of family o_custkey, listed in 1870 and again, with changes, i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.config import LinkConfig
 from kinweave.functions import scalars as S
 from kinweave.operators import blocking, family, matching, sampling, scoring
-from kinweave.plans import decennial
+from kinweave.operators import calibration
+from kinweave.plans import decennial, schedule, verified
 from kinweave.sources import files
 
 SYL = "ba,co,di,fu,ga,he,ji,ko,la,mo,ni,pa,ro,su,ta,vi,wa,yo,ze,lu"
@@ -140,7 +141,7 @@ def q08_knockouts_stats(spark, sf_dir):
 def q09_score_levers(spark, sf_dir):
     a, b = _sides(spark, sf_dir)
     c = LinkConfig()
-    p = blocking.pass_surname(a, b, c).join(a, "id_a").join(b, "id_b").withColumn("similar", F.lit(False))
+    p = blocking.pass_surname(a, b, c).join(a, "id_a").join(b, "id_b").withColumn("similar", F.lit(False)).withColumn("bridged", F.lit(False))
     p = scoring.with_rarity(p, a, c).withColumn("a", scoring.lever_a(c)).withColumn("b_value", scoring.lever_b(c)).withColumn("race_value", scoring.race_signal(c)).withColumn("occ_value", scoring.occupation_signal(c)).withColumn("c_value", F.lit(0.0)).withColumn("d_value", F.lit(0.0))
     p = scoring.confident(p, c)
     return p.select("id_a", "id_b", "a.rung", scoring.effective_a(F.lit(0.0)).alias("a_part"), "b_value", "race_value", "occ_value", F.round("confidence", 9).alias("confidence"))
@@ -148,8 +149,7 @@ def q09_score_levers(spark, sf_dir):
 
 @query("WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS w FROM part) SELECT x.w AS name_a, y.w AS name_b FROM w x JOIN w y ON x.w < y.w WHERE jaro_winkler_similarity(x.w, y.w) >= 0.85")
 def q10_jw_match(spark, sf_dir):
-    w = _t(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct()
-    return w.select(F.col("w").alias("name_a")).join(w.select(F.col("w").alias("name_b")), F.col("name_a") < F.col("name_b")).where(S.jaro_winkler_udf("name_a", "name_b") >= 0.85)
+    return blocking.close_names(_t(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")), "w")
 
 
 @query(f"""{SQL}, h AS (SELECT family_id, min(mention_id) AS hid FROM a WHERE head GROUP BY 1), hh AS (SELECT h.family_id, hid, a.gender AS hg, a.birth_year AS hb FROM h JOIN a ON a.mention_id = hid),
@@ -162,28 +162,60 @@ def q11_kin_inference(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
+    """All passes' pairs that no rule knocks out, scored."""
     a, b = _sides(spark, sf_dir)
     c = LinkConfig()
-    p = blocking.pass_surname(a, b, c).join(a, "id_a").join(b, "id_b")
-    p = scoring.score(blocking.knock_out(p, p.limit(0).select(F.col("id_a").alias("subject_id"), F.col("id_b").alias("object_id")), a.limit(0).select("id_a"), c).where("ko is null").drop("ko"), a, c)
+    p = blocking.block(a, b, c).join(a, "id_a").join(b, "id_b")
+    none = spark.createDataFrame([], "subject_id string, object_id string")
+    p = scoring.score(blocking.knock_out(p, none, a.limit(0).select("id_a"), c).where("ko is null").drop("ko"), a, c)
     return scoring.confident(p.withColumn("c_value", F.lit(0.0)).withColumn("d_value", F.lit(0.0)).withColumn("spousal", F.lit(False)), c)
 
 
-@query()
+ALIGNED = "al AS (SELECT a.family_id, a.mention_id AS id_a, b.mention_id AS id_b, a.last_name AS f, b.last_name AS t, CASE WHEN a.seq % 5 = 0 THEN 1.2 ELSE 0.6 END AS gain FROM a JOIN b ON a.seq = b.seq)"
+
+
+def _evidence(spark, sf_dir):
+    """Evidence on given alignments: every person with their own later record."""
+    a, b = _sides(spark, sf_dir)
+    p = a.join(b, F.col("seq_a") == F.col("seq_b")).withColumn("spousal", F.col("seq_a") % 5 == 0)
+    rows = F.sort_array(F.collect_list(F.struct("id_a", "id_b", "spousal", "last_a", "last_b"))).alias("chosen")
+    return family.evidence(p.groupBy("family_id_a", "family_id_b").agg(rows), LinkConfig())
+
+
+@query(f"{SQL}, {ALIGNED} SELECT id_a, id_b, round(least(2.4, CAST(sum(gain) OVER w - gain AS DOUBLE)), 9) AS c_new, round(least(2.4, CAST(sum(gain) OVER w AS DOUBLE)), 9) AS bundle_score, count(*) OVER w AS n_aligned FROM al WINDOW w AS (PARTITION BY family_id)")
 def q12_lever_c_leave_one_out(spark, sf_dir):
-    return family.align(_scored(spark, sf_dir), LinkConfig()).select("id_a", "id_b", "c_new", "bundle_score", "n_aligned")
+    return _evidence(spark, sf_dir).select("id_a", "id_b", F.round("c_new", 9).alias("c_new"), F.round("bundle_score", 9).alias("bundle_score"), F.col("n_aligned").cast("long").alias("n_aligned"))
 
 
-@query()
+@query(f"""{SQL}, o AS (SELECT census_year, family_id, row_number() OVER (PARTITION BY census_year ORDER BY min(seq), family_id) - 1 AS place FROM r GROUP BY census_year, family_id),
+    p AS (SELECT a.mention_id AS id_a, b.mention_id AS id_b, a.family_id AS fa, x.place AS oa, y.place AS ob, a.seq = b.seq AND a.seq % 2 = 0 AS won FROM a JOIN b ON b.seq = a.seq OR b.seq = a.seq + 1
+          JOIN o x ON x.census_year = 1870 AND x.family_id = a.family_id JOIN o y ON y.census_year = 1880 AND y.family_id = b.family_id)
+    SELECT p.id_a, p.id_b, count(*) AS d_count FROM p JOIN p w ON w.won AND w.oa BETWEEN p.oa - 15 AND p.oa + 15 AND w.ob BETWEEN p.ob - 15 AND p.ob + 15 AND w.fa <> p.fa AND w.id_b <> p.id_b GROUP BY ALL""")
 def q13_lever_d_neighbors(spark, sf_dir):
-    return family.neighbours(_scored(spark, sf_dir), family.family_order(records(spark, sf_dir)), LinkConfig())
+    a, b = _sides(spark, sf_dir)
+    c = LinkConfig()
+    p = a.join(b, F.col("seq_a") == F.col("seq_b")).unionByName(a.join(b, F.col("seq_a") + 1 == F.col("seq_b")))
+    placed = family.place_families(p.withColumn("confidence", F.lit(0.9)), family.family_order(records(spark, sf_dir)), c)
+    winners = placed.join(a.join(b, F.col("seq_a") == F.col("seq_b")).where("seq_a % 2 = 0").select("id_a", "id_b"), ["id_a", "id_b"])
+    return family.neighbour_counts(placed, winners, c).select("id_a", "id_b", F.col("d_count").cast("long").alias("d_count"))
 
 
-@query(f"{SQL} SELECT a.family_id, a.last_name AS drift_from, b.last_name AS drift_to, count(*) AS n FROM a JOIN b ON a.seq = b.seq WHERE a.last_name <> b.last_name GROUP BY ALL HAVING count(*) >= 3")
+@query(f"{SQL}, {ALIGNED} SELECT family_id, f AS drift_from, t AS drift_to, count(*) AS n FROM al WHERE f <> t GROUP BY ALL HAVING count(*) >= 3")
 def q14_drift(spark, sf_dir):
-    a, b = _sides(spark, sf_dir)
-    p = a.join(b, F.col("seq_a") == F.col("seq_b")).where("last_a <> last_b")
-    return p.groupBy(F.col("family_id_a").alias("family_id"), F.col("last_a").alias("drift_from"), F.col("last_b").alias("drift_to")).agg(F.count("*").alias("n")).where(F.col("n") >= LinkConfig().drift_quorum)
+    e = _evidence(spark, sf_dir).where("drift").join(_sides(spark, sf_dir)[0].select("id_a", F.col("family_id_a").alias("family_id")), "id_a")
+    return e.groupBy("family_id", "drift_from", "drift_to").agg(F.count("*").alias("n"))
+
+
+@query()
+def align_families(spark, sf_dir):
+    """Alignment of the pairs that blocking and scoring leave."""
+    return family.align(_scored(spark, sf_dir), LinkConfig()).select("id_a", "id_b", "c_new", "bundle_score", "n_aligned", "drift")
+
+
+@query()
+def provisional_neighbors(spark, sf_dir):
+    """Neighbours' evidence for the same pairs, with its provisional assignment."""
+    return family.neighbours(_scored(spark, sf_dir), family.family_order(records(spark, sf_dir)), LinkConfig())
 
 
 @query()
@@ -192,22 +224,50 @@ def q15_greedy_one_to_one(spark, sf_dir):
     return matching.greedy_one_to_one(p, "id_a", "id_b", [-F.col("confidence"), F.concat_ws("|", "id_a", "id_b")])
 
 
-LOCK = "SELECT l_orderkey AS l, l_partkey AS r, max(l_quantity) AS score FROM lineitem GROUP BY ALL"
+LOCK = "SELECT l_orderkey AS l, l_partkey AS r, max(l_quantity) / 50 AS score FROM lineitem GROUP BY ALL"
 
 
-@query(f"WITH e AS ({LOCK}), b AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS n FROM e), c AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, l) AS k FROM b WHERE n = 1) SELECT l, r, score FROM c WHERE k = 1")
+@query(f"WITH e AS ({LOCK}), b AS (SELECT *, row_number() OVER w AS n, coalesce(lead(score) OVER w, 0) AS second FROM e WINDOW w AS (PARTITION BY l ORDER BY score DESC, r)), c AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, l) AS k FROM b WHERE n = 1 AND score >= 0.8 AND score - second >= 0.05) SELECT l, r, score FROM c WHERE k = 1")
 def q16_lock_pass(spark, sf_dir):
-    e = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("l"), F.col("l_partkey").alias("r")).agg(F.max("l_quantity").alias("score"))
-    return matching.first_at_both(e, "l", "r", [F.desc("score"), F.col("l"), F.col("r")])
+    e = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("l"), F.col("l_partkey").alias("r")).agg((F.max("l_quantity") / 50).alias("score"))
+    return matching.lock_pass(e, "l", "r", "score", [F.desc("score"), F.col("r")], [F.desc("score"), F.col("l")], 0.8)
 
 
-@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS p FROM lineitem), t AS (SELECT l_orderkey, max(p) AS best, coalesce((list_sort(list(p), 'DESC'))[2], 0.0) AS second FROM s GROUP BY 1)
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS p FROM lineitem), t AS (SELECT x.l_orderkey, x.p AS best, coalesce((SELECT max(y.p) FROM s y WHERE y.l_orderkey = x.l_orderkey AND y.l_linenumber <> 1), 0.0) AS second FROM s x WHERE l_linenumber = 1)
     SELECT l_orderkey, best, second, CASE WHEN best >= 0.8 THEN 'MATCH' WHEN best >= 0.55 AND best - second >= 0.15 AND second < 0.5 THEN 'MATCH' WHEN best >= 0.4 THEN 'MAYBE' ELSE 'UN-MATCHED' END AS status FROM t""")
 def q17_classify(spark, sf_dir):
-    s = _t(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_quantity") / 50).alias("p"))
-    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("p")))
-    t = s.withColumn("n", n).where("n <= 2").groupBy("l_orderkey").agg(F.max("p").alias("best"), F.coalesce(F.max(F.when(F.col("n") == 2, F.col("p"))), F.lit(0.0)).alias("second"))
-    return t.withColumn("status", F.when(F.col("best") >= 0.8, "MATCH").when((F.col("best") >= 0.55) & (F.col("best") - F.col("second") >= 0.15) & (F.col("second") < 0.5), "MATCH").when(F.col("best") >= 0.4, "MAYBE").otherwise("UN-MATCHED"))
+    s = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("no_p"), F.col("l_linenumber").alias("id_c"), (F.col("l_quantity") / 50).alias("score"))
+    t = verified.margins(s, s.where("id_c = 1"))
+    return t.select(F.col("no_p").alias("l_orderkey"), F.col("score").alias("best"), "second", verified.classify(F.col("score"), F.col("second")).alias("status"))
+
+
+# Fields of the name matcher, made in both engines.
+NAMES = """SELECT mention_id, seq, family_id, census_year, CASE WHEN seq % 11 = 0 THEN '' WHEN seq % 17 = 3 THEN concat(first_name, substr(first_name, 2, 1)) ELSE first_name END AS first_name, CASE WHEN seq % 19 = 0 THEN '' ELSE last_name END AS last_name, nysiis,
+    CASE WHEN seq % 3 = 0 THEN '' WHEN seq % 3 = 1 THEN concat(substr(nysiis, 1, 2), ':', substr(soundex, 1, 4)) ELSE concat(substr(nysiis, 1, 3), ':', substr(soundex, 1, 2)) END AS metaphone, birth_year, gender, race, head, occupation FROM {m}"""
+
+
+def _names(spark, sf_dir) -> DataFrame:
+    m = spark.sql(NAMES.format(m="{m}"), m=mentions(spark, sf_dir))
+    full = F.trim(F.concat_ws(" ", "first_name", "last_name"))
+    return m.withColumnsRenamed({"nysiis": "nysiis_last_name", "metaphone": "metaphone_last_name"}).withColumn("full_name", full).withColumn("norm_first_name", F.lit(""))
+
+
+@query(f"""{SQL}, nm AS ({NAMES.format(m='m')}), k AS (SELECT *, upper(first_name) AS g, CASE upper(first_name) WHEN 'SAM' THEN 'SAMUEL' WHEN 'NED' THEN 'EDWARD' WHEN 'BETSY' THEN 'ELIZABETH' WHEN 'WILLIE' THEN 'WILLIAM' WHEN 'KATE' THEN 'CATHERINE' ELSE upper(first_name) END AS c,
+        trim(concat(first_name, ' ', last_name)) AS full_name, split_part(metaphone, ':', 1) AS mp, split_part(metaphone, ':', 2) AS ms FROM nm),
+    p AS (SELECT x.mention_id AS id_a, y.mention_id AS id_b, x.g AS ga, y.g AS gb, x.c AS ca, y.c AS cb,
+        CASE WHEN x.full_name <> '' AND x.full_name = y.full_name THEN 'EXACT_FULLNAME' WHEN x.last_name <> '' AND x.last_name = y.last_name THEN 'EXACT_LASTNAME'
+             WHEN x.metaphone = '' OR y.metaphone = '' THEN CASE WHEN x.nysiis = y.nysiis THEN 'NYSIIS' ELSE 'NO_MATCH' END
+             WHEN x.mp = y.mp THEN 'PHONETIC_STRONG' WHEN x.mp = y.ms OR x.ms = y.mp THEN 'PHONETIC_MODERATE' WHEN x.ms = y.ms THEN 'PHONETIC_WEAK' ELSE 'NO_MATCH' END AS kind
+        FROM k x JOIN k y ON x.family_id = y.family_id AND x.census_year = 1870 AND y.census_year = 1880),
+    s AS (SELECT *, CASE kind WHEN 'NO_MATCH' THEN 0 WHEN 'PHONETIC_WEAK' THEN 0.6 WHEN 'PHONETIC_MODERATE' THEN 0.8 WHEN 'NYSIIS' THEN 0.85 ELSE 1 END AS st, (ga = gb OR jaro_winkler_similarity(ga, gb) >= 0.85) AS sim FROM p)
+    SELECT id_a, id_b, kind, CAST(CASE WHEN ga = '' OR gb = '' THEN CASE WHEN st >= 0.8 THEN 0.3 ELSE 0 END
+        WHEN len(ga) > 1 AND len(gb) > 1 THEN CASE WHEN ca = cb AND st >= 0.8 THEN 1 WHEN sim AND st >= 0.8 THEN 0.85 WHEN (ca = cb OR sim) AND st = 0.6 THEN 0.7 WHEN (ca = cb OR sim) AND st = 0 THEN 0.4 WHEN st >= 0.8 THEN 0.3 ELSE 0 END
+        WHEN st < 0.8 THEN 0 WHEN substr(ga, 1, 1) <> substr(gb, 1, 1) THEN 0.3 WHEN len(ga) = 1 AND len(gb) = 1 THEN 0.35 ELSE 0.55 END AS DOUBLE) AS name_score FROM s""")
+def q18_matchname(spark, sf_dir):
+    n = _names(spark, sf_dir)
+    side = lambda y, t: n.where(F.col("census_year") == y).select("family_id", F.col("mention_id").alias(f"id_{t}"), *[v.alias(k) for k, v in schedule.name_columns(n, t).items()])
+    p = schedule.name_scores(side(1870, "a").join(side(1880, "b"), "family_id"), "a", "b")
+    return p.select("id_a", "id_b", F.col("surname.kind").alias("kind"), "name_score")
 
 
 @query("""WITH e AS (SELECT event_id, month(ts) || '.' || day(ts) AS da, month(ts + INTERVAL 1 DAY * (event_id % 9)) || '.' || day(ts + INTERVAL 1 DAY * (event_id % 9)) AS db FROM events),
@@ -222,12 +282,10 @@ def q19_enumerator_bonus(spark, sf_dir):
 
 @query("WITH t AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) SELECT o_custkey, max(CASE WHEN n = 1 THEN o_orderkey END) AS mention1, max(CASE WHEN n = 2 THEN o_orderkey END) AS mention2, max(CASE WHEN n = 3 THEN o_orderkey END) AS mention3 FROM t WHERE n <= 3 GROUP BY 1")
 def q20_top3_pivot(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    t = _t(spark, sf_dir, "orders").withColumn("n", n).where("n <= 3")
-    return t.groupBy("o_custkey").agg(*[F.max(F.when(F.col("n") == k, F.col("o_orderkey"))).alias(f"mention{k}") for k in (1, 2, 3)])
+    return schedule.top_three(_t(spark, sf_dir, "orders"), "o_custkey", F.col("o_orderkey"), [F.desc("o_totalprice"), F.col("o_orderkey")])
 
 
-@query("""WITH p AS (SELECT (event_id * 37 % 1000) / 1000.0 AS p FROM events), g AS (SELECT CAST(least(7, floor(p * 8)) AS INT) AS stratum, count(*) AS n, avg(CAST(p AS DOUBLE)) AS mean FROM p GROUP BY 1)
+@query("""WITH p AS (SELECT (event_id * 37 % 1000) / 1000.0 AS p FROM events), g AS (SELECT CASE WHEN p >= 0.99 THEN 'A' WHEN p >= 0.95 THEN 'B' WHEN p >= 0.9 THEN 'C' WHEN p >= 0.75 THEN 'D' WHEN p >= 0.5 THEN 'E' WHEN p >= 0.25 THEN 'F' WHEN p >= 0.1 THEN 'G' ELSE 'H' END AS stratum, count(*) AS n, avg(CAST(p AS DOUBLE)) AS mean FROM p GROUP BY 1)
     SELECT stratum, n, round(least(0.99, greatest(0.01, mean)), 9) AS pbar, round(n * sqrt(least(0.99, greatest(0.01, mean)) * (1 - least(0.99, greatest(0.01, mean)))), 6) AS weight FROM g""")
 def q21_neyman_allocation(spark, sf_dir):
     p = _t(spark, sf_dir, "events").select("event_id", ((F.col("event_id") * 37 % 1000) / 1000.0).alias("probability"))
@@ -243,45 +301,137 @@ def q21b_neyman_sample(spark, sf_dir):
 @query("""WITH s AS (SELECT event_id AS n, event_id - event_id % 2 * (event_id % 3) AS line, CASE WHEN event_id % 5 = 0 THEN 'Owner' ELSE '' END AS status, 'owner ' || user_id AS full_name FROM events),
     d AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY n) AS again, sum(CASE WHEN status = 'Owner' THEN 1 ELSE 0 END) OVER w AS hh, last_value(CASE WHEN status = 'Owner' THEN full_name END IGNORE NULLS) OVER w AS owner_name FROM s WINDOW w AS (ORDER BY n ROWS UNBOUNDED PRECEDING)),
     e AS (SELECT *, 'ALB-SS-1850-' || line || CASE WHEN again > 1 THEN '.' || again ELSE '' END AS mention_id FROM d), f AS (SELECT full_name AS owner_name, arg_min(mention_id, n) AS owner_id FROM e WHERE status = 'Owner' GROUP BY 1)
-    SELECT n, mention_id, 'HS1850-' || hh AS household_id, CASE WHEN status <> 'Owner' THEN owner_id END AS owner_id FROM e LEFT JOIN f USING (owner_name) WHERE NOT (status = 'Owner' AND mention_id <> owner_id)""")
+    SELECT n, mention_id, CASE WHEN hh > 0 THEN 'HS1850-' || hh ELSE '' END AS household_id, CASE WHEN status <> 'Owner' THEN owner_id END AS owner_id FROM e LEFT JOIN f USING (owner_name) WHERE NOT (status = 'Owner' AND mention_id <> owner_id)""")
 def q22_carry_forward_household(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("n"), (F.col("event_id") - F.col("event_id") % 2 * (F.col("event_id") % 3)).alias("line"), F.when(F.col("event_id") % 5 == 0, "Owner").otherwise("").alias("status"), F.concat(F.lit("owner "), F.col("user_id").cast("string")).alias("full_name"))
-    return files.schedule_households(e, "ALB", 1850)
+    return files.schedule_households(e, "ALB", 1850).select("n", "mention_id", "household_id", "owner_id")
+
 
+# Lines of a dump, made in both engines: an INSERT every fifty lines, an end to it, tuples between.
+LINES = r"""SELECT event_id AS n, CASE WHEN event_id % 50 = 0 THEN concat('INSERT INTO `', CASE floor(event_id / 50) % 3 WHEN 0 THEN 'population_census' WHEN 1 THEN 'slave_census' ELSE 'places' END, '` (`id`, `county`, `year`, `name`) VALUES')
+    WHEN event_id % 50 = 49 THEN 'UNLOCK TABLES;' ELSE concat('(', event_id, ',''', CASE WHEN user_id % 2 = 0 THEN 'Augusta' ELSE 'Rock{q}bridge' END, ''', ', 1860 + 10 * (event_id % 3), ',', CASE WHEN event_id % 7 = 0 THEN ' NULL ' ELSE concat('''', event_type, ''', ''a, b''') END, ')', CASE WHEN event_id % 2 = 0 THEN ',' ELSE ';' END) END AS value FROM {events}"""
+LINES_SQL = LINES.format(events="events", q="''''")
+TABLED = f"l AS ({LINES_SQL}), t AS (SELECT n, value, CASE WHEN value LIKE 'UNLOCK%' THEN '' ELSE nullif(regexp_extract(value, '^INSERT INTO `([^`]+)`', 1), '') END AS mark FROM l), d AS (SELECT n, value, last_value(mark IGNORE NULLS) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) AS \"table\" FROM t), r AS (SELECT * FROM d WHERE value LIKE '(%' AND \"table\" <> '')"
 
-@query("WITH d AS (SELECT event_type AS tbl, user_id % 3 AS county, props FROM events) SELECT tbl, county, count(*) AS n, count(*) FILTER (WHERE contains(props, '18')) AS n_year FROM d GROUP BY ALL")
+
+def _lines(spark, sf_dir) -> DataFrame:
+    e = _t(spark, sf_dir, "events")
+    head = F.concat(F.lit("INSERT INTO `"), F.element_at(F.array(F.lit("population_census"), F.lit("slave_census"), F.lit("places")), (F.floor(F.col("event_id") / 50) % 3 + 1).cast("int")), F.lit("` (`id`, `county`, `year`, `name`) VALUES"))
+    county = F.when(F.col("user_id") % 2 == 0, "Augusta").otherwise("Rock''bridge")
+    last = F.when(F.col("event_id") % 7 == 0, " NULL ").otherwise(F.concat(F.lit("'"), "event_type", F.lit("', 'a, b'")))
+    row = F.concat(F.lit("("), F.col("event_id").cast("string"), F.lit(",'"), county, F.lit("', "), (1860 + 10 * (F.col("event_id") % 3)).cast("string"), F.lit(","), last, F.lit(")"), F.when(F.col("event_id") % 2 == 0, ",").otherwise(";"))
+    return e.select(F.col("event_id").alias("n"), F.when(F.col("event_id") % 50 == 0, head).when(F.col("event_id") % 50 == 49, "UNLOCK TABLES;").otherwise(row).alias("value"))
+
+
+@query(f"WITH {TABLED} SELECT \"table\", count(*) AS n, count(*) FILTER (WHERE contains(value, '1880')) AS n_year, count(*) FILTER (WHERE contains(\"table\", 'census') AND contains(lower(value), 'augusta') AND contains(value, '1880')) AS n_county_year FROM r GROUP BY 1")
 def q23_dump_counts(spark, sf_dir):
-    d = _t(spark, sf_dir, "events").select(F.col("event_type").alias("tbl"), (F.col("user_id") % 3).alias("county"), "props")
-    return d.groupBy("tbl", "county").agg(F.count("*").alias("n"), F.count_if(F.col("props").contains("18")).alias("n_year"))
+    return files.table_counts(_lines(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {TABLED} SELECT lower(regexp_extract(value, '^\\((\\d+),\\s*''([^'']+)'',\\s*(\\d+)', 2)) AS county, regexp_extract(value, '^\\((\\d+),\\s*''([^'']+)'',\\s*(\\d+)', 3) AS year, count(*) AS n FROM r WHERE \"table\" = 'population_census' AND regexp_matches(value, '^\\((\\d+),\\s*''([^'']+)'',\\s*(\\d+)') GROUP BY 1, 2")
+def q23b_county_counts(spark, sf_dir):
+    return files.county_counts(_lines(spark, sf_dir))
+
+
+@query(f"""WITH {TABLED} SELECT n, "table", concat_ws('|', CAST(n AS VARCHAR), CASE WHEN user_id % 2 = 0 THEN 'Augusta' ELSE 'Rock''bridge' END, CAST(1860 + 10 * (n % 3) AS VARCHAR), CASE WHEN n % 7 = 0 THEN '' ELSE concat(event_type, '|a, b') END) AS cells FROM r JOIN events ON event_id = n""")
+def q23c_dump_rows(spark, sf_dir):
+    return files.dump_rows(_lines(spark, sf_dir)).select("n", "table", F.array_join("values", "|").alias("cells"))
+
+
+@query("""SELECT c_name AS name, CAST(c_custkey % 80 AS VARCHAR) AS age, 'F' AS sex, c_mktsegment AS color, CAST((4 + c_custkey % 3) * 12 + c_custkey % 12 AS VARCHAR) || '.0' AS height, CAST(c_custkey AS VARCHAR) AS registration_number,
+    '4 May ' || (1790 + c_custkey % 60) AS registration_date, 'scar on left hand' AS additional_info, CAST(1790 + c_custkey % 60 AS INT) AS registration_year, CAST(1790 + c_custkey % 60 - c_custkey % 80 AS INT) AS birth_year FROM customer""")
 def q24_registry_extract(spark, sf_dir):
-    text = "Name: Ann Poe\nAge: 30\nSex: F\nColor: Black\nHeight: 5 ft 8 in\nRegistration Number: 12\nRegistration Date: 4 May 1851\nAdditional Info: scar on\nleft hand\n12/Name: Ben Roe\nAge: 41\nHeight: tall\nRegistration Date: 1855\nAdditional Info: none"
-    return files.registry_rows(spark.createDataFrame([(text,)], "text string"))
+    k = F.col("c_custkey")
+    t = lambda x: x.cast("string")
+    record = F.concat(F.lit("Name: "), "c_name", F.lit("\nAge: "), t(k % 80), F.lit("\nSex: F\nColor: "), "c_mktsegment", F.lit("\nHeight: "), t(4 + k % 3), F.lit(" ft "), t(k % 12), F.lit(" in\nRegistration number: "), t(k), F.lit("\nRegistration Date: 4 May "), t(1790 + k % 60), F.lit("\nAdditional Info: scar on\nleft hand"))
+    # Each record stands twice in its text, once after a page number.
+    return files.registry_rows(_t(spark, sf_dir, "customer").select(F.concat(F.lit("Register\n"), record, F.lit("\n12/"), record).alias("text")))
 
 
-@query("SELECT conv_id, turn, trim(regexp_replace('Dr. CAPT ' || trim(regexp_replace(regexp_replace(substr(role, 1, 8), '[^A-Za-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')), '^(?i:(1SGT|LIEUT|CAPT|CORP|MISS|1LT|2LT|COL|CPL|GEN|MAJ|MRS|PFC|PVT|REV|SGT|DR|LT|MR|MS)([. ]+|$))+', '')) AS name FROM conversations")
+@query(r"""WITH n AS (SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'Dr. ' WHEN 1 THEN 'CAPT ' WHEN 2 THEN 'Lt. Col. ' WHEN 3 THEN 'Drake ' WHEN 4 THEN 'MRS' ELSE 'ens ltc.' END || CASE WHEN turn % 6 = 4 THEN '' ELSE text END AS t FROM conversations),
+    s AS (SELECT conv_id, turn, regexp_replace(t, '^(?i:(1SGT|CAPT|CORP|COL|CPL|CPT|ENS|GEN|LTC|MAJ|MRS|PFC|PVT|REV|SGT|DR|LT|MR)([. ]+|$))+', '') AS t FROM n)
+    SELECT conv_id, turn, trim(regexp_replace(replace(regexp_replace(t, '[^\p{L}\p{M}\p{Nd}\p{Pc}\s''"“”‘’]', '', 'g'), '_', ''), '\s+', ' ', 'g')) AS name FROM s""".replace("\\\\", "\\"))
 def q25_name_prefix_clean(spark, sf_dir):
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", S.strip_prefixes(F.concat(F.lit("Dr. CAPT "), S.strip_punctuation(F.substring("role", 1, 8)))).alias("name"))
+    title = F.element_at(F.array(*[F.lit(x) for x in ("Dr. ", "CAPT ", "Lt. Col. ", "Drake ", "MRS", "ens ltc.")]), (F.col("turn") % 6 + 1).cast("int"))
+    name = F.concat(title, F.when(F.col("turn") % 6 == 4, "").otherwise(F.col("text")))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", S.strip_punctuation(S.strip_prefixes(name)).alias("name"))
 
 
-@query("WITH p AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS place FROM events), c AS (SELECT place AS centre FROM p WHERE event_id % 500 = 0) SELECT event_id, place - centre AS \"offset\", centre FROM p JOIN c ON place BETWEEN centre - 12 AND centre + 12")
+@query("WITH p AS (SELECT event_id, user_id, row_number() OVER (ORDER BY ts, event_id) AS place FROM events), c AS (SELECT place AS centre FROM p WHERE event_id IN (SELECT min(event_id) FROM events GROUP BY user_id)) SELECT event_id, place - centre AS \"offset\", centre FROM p JOIN c ON place BETWEEN centre - 12 AND centre + 12")
 def q26_context_window(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").select("event_id", "ts")
-    w = blocking.context_window(e, ["ts", "event_id"], e.where("event_id % 500 = 0").select("event_id"), ["event_id"])
+    e = _t(spark, sf_dir, "events")
+    hits = e.groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    w = blocking.context_window(e.select("event_id", "ts"), ["ts", "event_id"], hits, ["event_id"])
     return w.select("event_id", F.col("offset").cast("long").alias("offset"), F.col("centre").cast("long").alias("centre"))
 
 
-@query("SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '(?i)<a\\s')) AS links FROM pages")
+@query()
+def q27_label_calibration(spark, sf_dir):
+    """Name calibration on labelled documents, their length as the score: each score with its probability."""
+    d = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select(F.round(F.least(F.lit(2.0), F.col("n_chars") / 5000), 3).alias("score"), "quality")
+    model = calibration.fit_names(calibration.score_counts(d, "score", "quality"))
+    return d.groupBy("score").agg(F.count("*").alias("n")).withColumn("probability", F.round(model.probability(F.col("score")), 6))
+
+
+@query("SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '(?i)<a\\s')) AS links, (regexp_extract_all(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\\b\\d{4}\\b'))[1] AS birth_year, (regexp_extract_all(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\\b\\d{4}\\b'))[2] AS death_year FROM pages")
 def q28_html_listing_parse(spark, sf_dir):
-    return files.listing_rows(_t(spark, sf_dir, "pages")).select("page_id", "title", F.col("links").cast("long").alias("links"))
+    return files.page_titles(_t(spark, sf_dir, "pages"))
+
+
+@query("""SELECT '-' AS hitl_match, CASE WHEN o_orderstatus = 'F' THEN 'MATCH' ELSE 'MAYBE' END AS status, printf('%.3f', (o_orderkey % 1000) / 1000.0) AS probability, o_orderpriority || ' : ' || o_orderstatus AS full_name, o_custkey || ' : ' || o_orderkey AS birth_year,
+    'M : ' AS gender, 'B : W' AS norm_race, 'm' || o_custkey AS mention_id, 'p' || o_orderkey AS person_id, '{"note":"' || o_orderstatus || '"}' AS why FROM orders""")
+def q29_hitl_export(spark, sf_dir):
+    o, t = _t(spark, sf_dir, "orders"), lambda c: F.col(c).cast("string")
+    side = lambda **k: F.struct(*[v.alias(n) for n, v in k.items()])
+    e = F.lit("")
+    found = o.select(
+        F.lit("-").alias("hitl_match"), F.when(F.col("o_orderstatus") == "F", "MATCH").otherwise("MAYBE").alias("status"), ((F.col("o_orderkey") % 1000) / 1000.0).alias("probability"), F.struct(F.col("o_orderstatus").alias("note")).alias("why"),
+        side(mention_id=F.concat(F.lit("m"), t("o_custkey")), person_id=e, full_name=F.col("o_orderpriority"), birth_year=t("o_custkey"), gender=F.lit("M"), norm_race=e, race=F.lit("B")).alias("candidate"),
+        side(mention_id=e, person_id=F.concat(F.lit("p"), t("o_orderkey")), full_name=F.col("o_orderstatus"), birth_year=t("o_orderkey"), gender=e, norm_race=F.lit("W"), race=e).alias("person"),
+    )
+    return verified.review_rows(found)
 
 
-@query("SELECT count(*) AS n, text, min(doc_id) AS first_id FROM documents GROUP BY text")
+@query("SELECT DISTINCT text, lang, source FROM documents")
 def q30_exact_dedupe_union(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    return files.unique_rows(_t(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def _people(spark, sf_dir) -> DataFrame:
+    """The stand-in as a mentions file of one county."""
+    m = _names(spark, sf_dir)
+    return m.select("mention_id", "full_name", "first_name", F.lit("").alias("middle_name"), "last_name", "norm_first_name", "nysiis_last_name", "metaphone_last_name", "gender", "race", F.col("race").alias("norm_race"), "head", F.concat_ws("-", "census_year", "family_id").alias("household_id"), F.col("birth_year").cast("string").alias("birth_year"), F.when(F.col("seq") % 23 == 0, F.lit("1875")).otherwise("").alias("death_year"), F.col("occupation").alias("district"), F.lit("Ann").alias("enumerator"), F.concat(F.lit("6."), (F.col("seq") % 28 + 1).cast("string")).alias("enumerator_date"), F.lit(None).cast("string").alias("original_data"), F.concat(F.lit("SYN-CN-"), "census_year").alias("source"), "seq", "census_year")
+
+
+@query(f"""{SQL}, nm AS ({NAMES.format(m='m')}), k AS (SELECT *, split_part(metaphone, ':', 1) AS mp, split_part(metaphone, ':', 2) AS ms, upper(trim(regexp_replace(concat(first_name, last_name), '[^a-z]', '', 'g'))) AS fk FROM nm),
+    x AS (SELECT * FROM k WHERE census_year = 1870 AND seq % 23 <> 0), y AS (SELECT * FROM k WHERE census_year = 1880),
+    c AS (SELECT x.mention_id AS id_p, y.mention_id AS id_c FROM x JOIN y ON x.last_name = y.last_name AND x.last_name <> '' UNION SELECT x.mention_id, y.mention_id FROM x JOIN y ON x.nysiis = y.nysiis UNION SELECT x.mention_id, y.mention_id FROM x JOIN y ON x.fk = y.fk AND x.fk <> ''
+      UNION SELECT p.mention_id, q.mention_id FROM (SELECT mention_id, unnest([mp, ms]) AS z FROM x) p JOIN (SELECT mention_id, unnest([mp, ms]) AS z FROM y) q ON p.z = q.z AND p.z <> '')
+    SELECT id_p, id_c FROM c JOIN x ON x.mention_id = id_p JOIN y ON y.mention_id = id_c WHERE (x.gender = y.gender OR x.gender IS NULL OR y.gender IS NULL) AND ((x.race = 'W') = (y.race = 'W')) AND (abs(x.birth_year - y.birth_year) <= 12 OR x.birth_year IS NULL OR y.birth_year IS NULL)""")
+def q31_verified_blocking(spark, sf_dir):
+    m = _people(spark, sf_dir).withColumn("row_no", F.col("seq"))
+    persons, pool = m.where("census_year = 1870").withColumn("person_id", F.lit("")), m.where("census_year = 1880").withColumn("death_year", F.lit(""))
+    return verified.blocked(persons, pool, 1880, verified.VerifiedConfig())[0].select("id_p", "id_c")
+
+
+@query("""WITH f AS (SELECT CASE WHEN o_totalprice >= 250000 THEN 'MATCH' WHEN o_totalprice >= 100000 THEN 'MAYBE' ELSE 'UN-MATCHED' END AS status FROM orders) SELECT status, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM f), 1) AS percent FROM f GROUP BY 1""")
+def q32_status_counts(spark, sf_dir):
+    p = F.col("o_totalprice")
+    return verified.status_counts(_t(spark, sf_dir, "orders").select(F.when(p >= 250000, "MATCH").when(p >= 100000, "MAYBE").otherwise("UN-MATCHED").alias("status")))
+
+
+@query()
+def match_verified(spark, sf_dir):
+    m = _people(spark, sf_dir)
+    persons = m.where("census_year = 1870").withColumn("person_id", F.concat(F.lit("SYN-VP-"), F.col("seq").cast("string")))
+    found = verified.match_verified(persons, m.where("census_year = 1880").withColumn("death_year", F.lit("")), "SYN", 1880, ["seq"])
+    return verified.review_rows(found)
+
+
+@query(f"WITH m AS ({MENTIONS.format(orders='orders')}), h AS (SELECT family_id, count(*) AS n FROM m WHERE census_year = 1870 GROUP BY 1) SELECT mention_id, concat('SYN-VP-SS-1870-', '1870-', family_id) AS candidate_id, CAST(greatest(0, n - 1) AS BIGINT) AS household_count FROM m JOIN h USING (family_id) WHERE census_year = 1870 AND head")
+def q33_enslavers(spark, sf_dir):
+    m = _people(spark, sf_dir).where("census_year = 1870").withColumn("source", F.lit("SYN-SS-1870"))
+    return schedule.enslavers(m, "SYN", 1870).select("mention_id", "candidate_id", "household_count")
 
 
 @query()
@@ -293,12 +443,10 @@ def link_decennial(spark, sf_dir):
 
 @query()
 def match_schedule(spark, sf_dir):
-    from kinweave.plans.schedule import match_schedule as run
-
-    m = mentions(spark, sf_dir).where("census_year = 1870")
-    base = {"first_name": "first_name", "last_name": "last_name", "nysiis": "nysiis", "birth_year": "birth_year", "race": "race", "head": "head"}
-    one = m.select(F.col("mention_id").alias("id"), *base, F.concat_ws(" ", "first_name", "last_name").alias("full_name"), F.concat(F.substring("nysiis", 1, 4), F.lit(":"), F.col("soundex")).alias("metaphone"), F.col("occupation").alias("district"), F.lit("Ann").alias("enumerator"), F.concat(F.lit("6."), (F.col("seq") % 28 + 1).cast("string")).alias("enumerator_date"))
-    return run(one.where("head"), one.where("not head"), 1860)
+    m = _people(spark, sf_dir).where("census_year = 1870")
+    ss, cn = m.where("head").withColumn("source", F.lit("SYN-SS-1860")), m.where("not head").withColumn("source", F.lit("SYN-CN-1860"))
+    found = schedule.match_schedule(schedule.enslavers(ss, "SYN", 1860), schedule.census_candidates(cn, "SYN", 1860), calibration.fit_names())
+    return schedule.export_rows(found)
 
 
 def minimum_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
