@@ -106,6 +106,30 @@ def test_token_counts(docs, rows, empty):
     for d, text, *_ in rows:
         assert out[d]["n_tokens"] == len(t.encode(text or "", add_special_tokens=False)) and out[d]["n_bytes"] == len((text or "").encode())
     assert out[rows[-2][0]]["over_limit"] and token_counts.token_counts(empty, path).count() == 0
+    clash = docs.withColumns({"row": F.lit(1), "word": F.lit("x"), "others": F.lit(2)})
+    twice = token_counts.token_counts(clash.unionByName(clash), path)
+    assert twice.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    assert sorted(r["n_tokens"] for r in twice.collect()) == sorted(2 * [r["n_tokens"] for r in out.values()])
+
+
+@pytest.mark.parametrize("head", [0, 3])
+def test_token_counts_by_the_join(spark, docs, rows, head, monkeypatch):
+    """With few or no frequent pre-tokens, the shuffled join counts the others."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_counts, "HEAD_WORDS", head)
+    own = random.Random(1)
+    odd = ["".join(own.choice("aB1 é\n\t\u00a0<|endoftext|>!'_日\u2028\x1c") for _ in range(own.randrange(40))) for _ in range(400)] + ["<|endoftext|> x <|startoftext|>y"]
+    d = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").unionByName(docs.select("doc_id", "text").where("doc_id > 1000000"))
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(d, path).collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False)) for i, x in enumerate(odd)}
+
+
+def test_tokenizers_with_white_space_are_refused(docs):
+    with pytest.raises(ValueError):
+        token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_quality_rules(docs, rows, empty):
