@@ -78,7 +78,7 @@ def bounded(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS)
     return F.broadcast(df) if n <= limit else df
 
 
-def join_skewed(left: DataFrame, right: DataFrame, key: str, n: str, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+def join_skewed(left: DataFrame, right: DataFrame, key: str | list[str], n: str, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """`left` joined (inner or left) to the one row of `right` for its `key`; column `n` of `right`: how many rows `left` has of it.
 
     Up to `limit` rows of `right` are broadcast.  Beyond it only keys with HOT_ROWS rows or more are (of which there
@@ -87,7 +87,7 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, n: str, how: str =
     if right.count() <= limit:
         return left.join(F.broadcast(right), key, how)
     hot = bounded(right.where(F.col(n) >= HOT_ROWS))
-    rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(n) < HOT_ROWS), key, how)
+    rest = left.join(hot.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(right.where(F.col(n) < HOT_ROWS), key, how)
     return left.join(hot, key).unionByName(rest)
 
 
@@ -110,6 +110,13 @@ def is_train(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
 
+def labelled(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, y of training rows whose label is 0 or 1; ids with both labels are left out."""
+    rows = labels.where(is_train(F.col("doc_id")) & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    y = F.col(label).cast("int")
+    return rows.agg(F.min(y).alias("y"), F.max(y).alias("most")).where("y = most").select("doc_id", "y")
+
+
 def sampled(df: DataFrame, key: str, bound: int) -> DataFrame:
     """About `bound` rows of `df` at most, chosen by a hash of `key`; all rows when there are fewer."""
     n = df.count()

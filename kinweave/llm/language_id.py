@@ -10,8 +10,9 @@ would find); for the others Viterbi runs for all texts of a batch at once, word
 Each distinct word of a batch is scored once.
 
 Defined results: `und` with score 0 for null texts and texts without a letter; ties go to the alphabetically first
-language; with no training row at all every text is `und`; whole texts are labelled; repeated rows get equal
-results; extra columns are ignored.
+language; with no training row at all every text is `und`; whole texts are labelled, also very long ones; a null doc_id
+is never held out and never teaches; repeated rows get equal results; extra columns, whatever their names, are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,13 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import is_train
+from kinweave.llm.common import is_train, small_batches
 from kinweave.llm.token_counts import slices
 
 #: Training rows of each language that are used at most.
 MAX_TRAIN = 2_000
-#: n-grams and words of each language that the model keeps at most (the most frequent).
-MAX_GRAMS = 40_000
+#: n-grams of each order, and words, of each language that the model keeps: the most frequent of the bounded sample.  It is
+#: the size of the model, which every worker holds.
+MAX_GRAMS = 8_000
 ORDERS = (1, 2, 3, 4)
 #: Log-probability a switch of language costs.
 SWITCH = 6.0
@@ -43,7 +45,8 @@ SWITCH = 6.0
 #: First code points of script ranges, and their scripts.
 RANGES = [(0x0041, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, "other"), (0x0750, "Arabic"), (0x0780, "other"), (0x0900, "Devanagari"), (0x0980, "Bengali"), (0x0A00, "other"), (0x0B80, "Tamil"), (0x0C00, "Telugu"), (0x0C80, "other"), (0x0E00, "Thai"), (0x0E80, "other"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x13A0, "other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "other"), (0x3040, "Kana"), (0x3100, "other"), (0x3400, "Han"), (0xA000, "other"), (0xAC00, "Hangul"), (0xD7B0, "other"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB50, "Arabic"), (0xFE00, "other"), (0x20000, "Han"), (0x30000, "other")]
 STARTS = [a for a, _ in RANGES]
-LETTERS = re.compile(r"[^\W\d_]+")
+#: What is no letter: a white-space token is scored, and learned, as its letters run together.
+LETTERS = re.compile(r"[\W\d_]+")
 
 
 def script_of(word: str) -> str:
@@ -81,7 +84,7 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
         for b in batches:
             by_lang: dict[str, Counter] = {}
             for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(lang, Counter()).update(LETTERS.findall(t.lower()))
+                by_lang.setdefault(lang, Counter()).update(w for x in t.lower().split() if (w := LETTERS.sub("", x)))
             for lang, words in by_lang.items():
                 for w, n in words.items():
                     total[(lang, "@" + script_of(w))] += n
@@ -99,10 +102,10 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
 
     from pyspark.sql import Window
 
-    sums = chosen.select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1 or gram like '@%'")
+    sums = chosen.select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     kind = F.when(F.col("gram").startswith("@"), "@").when(F.col("gram").startswith("=") & (F.length("gram") > 1), "=").otherwise(F.length("gram").cast("string"))
     sums = sums.withColumn("kind", kind)
-    top = sums.withColumn("r", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= MAX_GRAMS // 5)
+    top = sums.withColumn("r", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= MAX_GRAMS)
     langs = sorted(sizes)
     counts: dict[str, dict[str, dict[str, int]]] = {}
     for r in top.select("lang", "kind", "gram", "n").collect():
@@ -186,7 +189,7 @@ class Labeller:
     def paths(self, score: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Viterbi labels of the tokens with these scores; text i has the tokens at[i] to at[i + 1]."""
         n, k = np.diff(at), score.shape[1]
-        label = np.zeros(len(score), np.int8)
+        label = np.zeros(len(score), np.int32)
         if not len(score) or k == 1:
             return label
         # The best single language holds throughout when no interval gains more by leaving it than one switch costs.
@@ -194,7 +197,7 @@ class Labeller:
         some = np.flatnonzero(n)
         total = np.zeros((len(n), k))
         total[some] = np.add.reduceat(score, at[:-1][some], axis=0, dtype=np.float64)
-        main = total.argmax(1).astype(np.int8)
+        main = total.argmax(1).astype(np.int32)
         label[:] = main[doc]
         own = np.take_along_axis(score, label[:, None].astype(np.int64), 1)[:, 0]
         other = np.full(len(score), -np.inf, np.float32)
@@ -214,7 +217,7 @@ class Labeller:
         order = np.argsort(-n, kind="stable")
         begin, n, k = begin[order], n[order], score.shape[1]
         active = np.searchsorted(-n, -np.arange(n[0]), "left")  # texts with more than t tokens
-        stay, come = np.zeros((len(score), k), bool), np.zeros(len(score), np.int8)
+        stay, come = np.zeros((len(score), k), bool), np.zeros(len(score), np.int32)
         v, cost = np.zeros((len(n), k), np.float64), float(self.switch)
         for t in range(n[0]):
             a = active[t]
@@ -242,21 +245,26 @@ class Labeller:
         code = bare.indices.to_numpy()[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
         return score[code], letters[code], (at - at[0]).astype(np.int64)
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        names, out_lang, out_score = self.m.langs, [], []
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, its share of the letters, and the number of spans of each text."""
+        names, out_lang, out_score, out_spans = self.m.langs, [], [], []
         for part in slices(texts, 4096, 16_000_000):
             if not names:
                 out_lang += ["und"] * len(part)
                 out_score.append(np.zeros(len(part)))
+                out_spans.append(np.zeros(len(part), np.int64))
                 continue
             score, letters, at = self._tokens(part)
             label = self.paths(score, at)
             doc = np.repeat(np.arange(len(part)), np.diff(at))
             share = np.bincount(doc * len(names) + label, letters, len(part) * len(names)).reshape(len(part), -1)
             total, best = share.sum(1), share.argmax(1)
+            # A span ends where the label changes inside a text.
+            cut = np.append(np.flatnonzero((np.diff(label) != 0) & (np.diff(doc) == 0)), []).astype(np.int64)
+            out_spans.append((np.diff(at) > 0) + np.bincount(doc[cut], minlength=len(part)))
             out_lang += [names[b] if s else "und" for b, s in zip(best, total, strict=True)]
             out_score.append(np.where(total > 0, share[np.arange(len(part)), best] / np.maximum(total, 1), 0.0))
-        return out_lang, np.concatenate([np.zeros(0), *out_score])
+        return out_lang, np.concatenate([np.zeros(0), *out_score]), np.concatenate([np.zeros(0, np.int64), *out_spans])
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Spans (first word, one past the last, language) of one text."""
@@ -271,17 +279,18 @@ class Labeller:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred, score."""
+    """doc_id, held_out, lang_pred, score, n_spans (spans of one language; 0 for texts without a word)."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         for b in batches:
-            lang, score = labeller.predict(b.column(1).cast(pa.large_string()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            lang, score, spans = labeller.predict(b.column(1).cast(pa.large_string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.int64())], names=["doc_id", "lang_pred", "score", "n_spans"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, n_spans bigint")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_spans")
 
 
 def mixed_spans(docs: DataFrame, model: Model) -> DataFrame:

@@ -6,9 +6,11 @@ share of good documents: a path shrinks toward its host, a host toward the corpu
 moments from how much sites of the same parent differ beyond chance.  A document's own evidence is left out of its
 site's sums, and the two are combined in log-odds.
 
-Defined results: null and empty texts have measures of 0 and are scored like any other; null hosts and paths form
-a site of their own; a site with one document has its parent's posterior; without labels of both kinds every
-document's own evidence is the labelled share (0.5 without any); repeated rows get equal document scores.
+Defined results: null and empty texts have measures of 0 and are scored like any other; very long texts are measured
+whole; null hosts and paths form a site of their own; a site with one document has its parent's posterior; without
+labels of both kinds every document's own evidence is nearly that of the only label (0.5 without any label); ids with
+both labels teach nothing; a null doc_id is passed through and never teaches; repeated rows get equal document scores;
+extra columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import bounded, is_train, materialize, sampled
+from kinweave.llm.common import discard, join_skewed, labelled, materialize, sampled, small_batches
 from kinweave.llm.token_counts import slices
 from kinweave.llm.toxicity import fit_logistic
 
@@ -64,7 +66,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> Model:
-    rows = labels.where(is_train(F.col("doc_id")) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    rows = labelled(labels, label)
     chosen = sampled(rows.where("y = 1"), "doc_id", max_train).unionByName(sampled(rows.where("y = 0"), "doc_id", max_train))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,6 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
 
 def document_scores(docs: DataFrame, model: Model, host: Column, path: Column) -> DataFrame:
     """doc_id, host, path, p (the document's own evidence)."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.array(model.weights)
@@ -98,9 +101,18 @@ def _strength(mean: float, within: float, between: float) -> float:
     return float(np.clip(within / max(between, 1e-9), 1.0, 1e6))
 
 
-def classify(docs: DataFrame, model: Model, host: Column, path: Column) -> DataFrame:
-    """doc_id, doc_score, host_posterior, path_posterior, score, keep."""
-    rows = materialize(document_scores(docs, model, host, path), "scores")
+def classify(docs: DataFrame, model: Model, host: Column, path: Column, sites: DataFrame | None = None) -> DataFrame:
+    """doc_id, doc_score, host_posterior, path_posterior, score, keep.
+
+    `sites` (doc_id, host, path; an id once at most) says where documents are from, `host` and `path` for all others.
+    """
+    rows = document_scores(docs, model, host, path)
+    if sites is not None:
+        known = sites.select(F.col("doc_id").cast("long").alias("site_id"), F.col("host").alias("site_host"), F.col("path").alias("site_path"))
+        rows = rows.join(known, F.col("doc_id") == F.col("site_id"), "left")
+        at = F.col("site_id").isNotNull()
+        rows = rows.select("doc_id", F.when(at, F.coalesce("site_host", F.lit(""))).otherwise(F.col("host")).alias("host"), F.when(at, F.coalesce("site_path", F.lit(""))).otherwise(F.col("path")).alias("path"), "p")
+    rows = materialize(rows, "scores")
     paths = materialize(rows.groupBy("host", "path").agg(F.count("*").alias("n_p"), F.sum("p").alias("s_p"), F.sum(F.col("p") * F.col("p")).alias("q_p")), "paths")
     hosts = materialize(paths.groupBy("host").agg(F.sum("n_p").alias("n_h"), F.sum("s_p").alias("s_h"), F.sum("q_p").alias("q_h")), "hosts")
     total = hosts.agg(F.sum("n_h"), F.sum("s_h"), F.sum("q_h"), F.count("*")).first()
@@ -118,8 +130,8 @@ def classify(docs: DataFrame, model: Model, host: Column, path: Column) -> DataF
     k_h = strengths(hosts, "n_h", "s_h", "q_h", F.lit(mean))
     site = paths.join(hosts, "host")
     k_p = strengths(site, "n_p", "s_p", "q_p", F.col("s_h") / F.col("n_h"))
-    sites = site.select("host", "path", "n_p", "s_p", "n_h", "s_h")
-    out = rows.join(bounded(sites), ["host", "path"])
+    posteriors = site.select("host", "path", "n_p", "s_p", "n_h", "s_h", F.col("n_p").alias("n"))
+    out = join_skewed(rows, posteriors, ["host", "path"], "n")
     host_post = (F.col("s_h") - F.col("p") + k_h * mean) / (F.col("n_h") - 1 + k_h)
     out = out.withColumn("host_posterior", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), host_post)))
     path_post = (F.col("s_p") - F.col("p") + k_p * F.col("host_posterior")) / (F.col("n_p") - 1 + k_p)
@@ -131,6 +143,7 @@ def classify(docs: DataFrame, model: Model, host: Column, path: Column) -> DataF
     return out.select("doc_id", F.col("p").alias("doc_score"), "host_posterior", "path_posterior", "score", (F.col("score") >= 0.5).alias("keep"))
 
 
-def site_of(url: Column) -> tuple[Column, Column]:
-    """Host and first path part of a URL."""
-    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1)), F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+/([^/?#]*)", 1)
+def site_of(url: Column, depth: int = 1) -> tuple[Column, Column]:
+    """Host of a URL and the first `depth` parts of its path."""
+    rest = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+/([^?#]*)", 1)
+    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1)), F.array_join(F.slice(F.split(rest, "/"), 1, depth), "/")

@@ -51,9 +51,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinweave.llm import quality_classifier as q
 
-    # A document's source is its host, the language section of it the path.
-    docs = _docs(spark, sf_dir)
-    return q.classify(docs, q.fit(docs, _labels(spark, sf_dir)), F.col("source"), F.col("lang"))
+    # A document is from the page with its number, where there is one (many hosts have a few documents only, most paths
+    # one); else its source is its host, the language section of it the path.
+    docs, (host, path) = _docs(spark, sf_dir), q.site_of(F.col("url"), 2)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy(F.col("page_id").alias("doc_id")).agg(F.min("url").alias("url"))
+    return q.classify(docs, q.fit(docs, _labels(spark, sf_dir)), F.col("source"), F.col("lang"), pages.where("doc_id is not null").select("doc_id", host.alias("host"), path.alias("path")))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

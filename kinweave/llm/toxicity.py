@@ -6,12 +6,14 @@ many copies don't pass for terms.  A near form of a term that clean training row
 Tokens are matched by the intersection of Levenshtein automata with the lexicon's trie: an automaton state is the
 set of (trie node, edits so far) that a token's prefix can reach; states are made deterministic on first use, so a
 token costs one table look-up per character and most tokens die after a few.  A match is scored in a window of
-tokens around it: quotation marks and reporting verbs lower it, direct address and further matches raise it.  A
-logistic model over these window scores gives the probability.
+tokens around it: quotation marks and reporting verbs lower it, direct address and further matches raise it.  How much
+is chosen among a few settings by a split inside the training rows; a logistic model over the window scores, fitted on
+all training rows then, gives the probability.
 
 Defined results: null and empty texts have no match and get the score of a text without matches; very long texts
-are read whole; repeated rows get equal scores; null doc_ids are never held out and never trained on; without
-labels of both kinds the lexicon is empty and every score is the training share (0 without any).
+are read whole; repeated rows get equal scores; null doc_ids are never held out and never trained on; ids with both
+labels teach nothing; without labels of both kinds the lexicon is empty and every score is nearly that of the only
+label (0 without any); extra columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,21 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import is_train, sampled
+from kinweave.llm.common import labelled, sampled, small_batches
 from kinweave.llm.token_counts import slices
 
-#: Labelled training rows of each label that are used at most (their ids are broadcast, 8 bytes each).
+#: Labelled training rows of each label that are used at most (their ids are broadcast, 8 bytes each).  The sample's
+#: vocabulary, which comes to the driver, is bounded by it.
 MAX_TRAIN = 10_000
-#: Entries of the lexicon at most; the strongest stay.
-MAX_LEXICON = 5_000
 #: Words from a term to those that tell one place of it from another; fixed phrases up to this long are no hindrance.
 APART = 4
 #: What a match is worth for each misspelling in it.
 MISSPELT = 0.8
-#: What it is worth near a word that addresses someone.
-ADDRESSED = 1.3
-#: And near another match.
-AMONG_OTHERS = 1.2
+#: What it is worth inside quotation marks, near a reporting word, near a word that addresses someone, and near another
+#: match: the settings to choose from.
+SETTINGS = ((0.4, 0.6, 1.3, 1.2), (1.0, 1.0, 1.0, 1.0), (0.2, 0.4, 1.5, 1.3), (0.6, 0.8, 1.15, 1.1), (0.4, 1.0, 1.3, 1.2))
+#: Another setting than the first is taken if it lowers the loss on the inner split by so much.
+CLEARLY = 0.002
 STEM_LENGTHS = (4, 5, 6)
 WINDOW = 6
 #: Tokens whose matches a worker remembers; at this number it starts anew.
@@ -97,7 +99,7 @@ def choose_terms(stats: list[tuple[str, int, int]], n_toxic: int, n_clean: int)
     for t, odds in found.items():
         if not t.endswith("*"):
             kept[t] = odds
-    return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:MAX_LEXICON])
+    return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0])))
 
 
 def edits_allowed(term: str) -> int:
@@ -216,8 +218,8 @@ class Scorer:
     `other_words`: words near a term that are no misspellings of it.
     """
 
-    def __init__(self, lexicon: dict[str, float], other_words: frozenset[str] = frozenset()) -> None:
-        self.matcher = Matcher(lexicon)
+    def __init__(self, lexicon: dict[str, float], other_words: frozenset[str] = frozenset(), setting: tuple[float, ...] = SETTINGS[0]) -> None:
+        self.matcher, self.setting = Matcher(lexicon), setting
         self.other_words = other_words
         self.seen: set[str] = set()
         self.hits: dict[str, tuple[float, int]] = {}
@@ -258,27 +260,24 @@ class Scorer:
             return tokens, []
         return tokens, [i for i, t in enumerate(tokens) if t in self.hits]
 
-    def features(self, text: str | None) -> list[float]:
+    def windows(self, text: str | None) -> list[tuple[float, tuple[bool, bool, bool, bool]]]:
+        """For each match what it is worth by itself, and whether it is quoted, reported, addressed, among others."""
         tokens, at = self.matches(text)
-        total = most = 0.0
-        places = set(at)
+        out, places = [], set(at)
         for i in at:
             weight, edits = self.hits[tokens[i]]
-            around = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
-            factor = 1.0
-            if self._quoted(tokens, i):
-                factor *= 0.4
-            bare = {EDGES.sub("", t) for t in around}
-            if bare & REPORTING:
-                factor *= 0.6
-            if bare & ADDRESS:
-                factor *= ADDRESSED
-            if any(j in places for j in range(i - WINDOW, i + WINDOW + 1) if j != i):
-                factor *= AMONG_OTHERS
-            score = min(weight, 8.0) / 8.0 * factor * MISSPELT**edits
-            total += score
-            most = max(most, score)
-        return [math.log1p(total), most]
+            bare = {EDGES.sub("", t) for t in tokens[max(0, i - WINDOW) : i + WINDOW + 1]}
+            near = any(j in places for j in range(i - WINDOW, i + WINDOW + 1) if j != i)
+            out.append((min(weight, 8.0) / 8.0 * MISSPELT**edits, (self._quoted(tokens, i), bool(bare & REPORTING), bool(bare & ADDRESS), near)))
+        return out
+
+    @staticmethod
+    def summed(windows: list, setting: tuple[float, ...]) -> list[float]:
+        scores = [math.prod((w, *(f for f, on in zip(setting, flags, strict=True) if on))) for w, flags in windows]
+        return [math.log1p(sum(scores)), max(scores, default=0.0)]
+
+    def features(self, text: str | None) -> list[float]:
+        return self.summed(self.windows(text), self.setting)
 
     @staticmethod
     def _quoted(tokens: list[str], i: int) -> bool:
@@ -308,14 +307,37 @@ class Model:
     lexicon: dict[str, float]
     weights: list[float]
     other_words: frozenset[str] = frozenset()
+    setting: tuple[float, ...] = SETTINGS[0]
+
+
+def _weights(x: np.ndarray, y: np.ndarray, setting: tuple[float, ...]) -> np.ndarray:
+    """A logistic model; toxic rows also count as if each match were misspelt and stood alone, as few labelled rows are."""
+    more, less = x[y == 1], MISSPELT / setting[2] / setting[3]
+    more = np.stack([np.log1p(np.expm1(more[:, 0]) * less), more[:, 1] * less], axis=1)
+    return fit_logistic(np.vstack([x, more]), np.concatenate([y, np.ones(len(more))]), penalty=0.1)
+
+
+def _loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    z = np.clip(x @ w[:-1] + w[-1], -30, 30)
+    return float(np.mean(np.log1p(np.exp(-np.where(y == 1, z, -z)))))
+
+
+def choose_setting(x: np.ndarray, y: np.ndarray, inner: np.ndarray) -> int:
+    """The setting whose model, fitted on the rows outside `inner`, has the least loss on those inside."""
+    if len(set(y[inner])) < 2 or len(set(y[~inner])) < 2:
+        return 0
+    losses = [_loss(x[inner, k], y[inner], _weights(x[~inner, k], y[~inner], s)) for k, s in enumerate(SETTINGS)]
+    best = int(np.argmin(losses))
+    return best if losses[best] < losses[0] - CLEARLY else 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
     """Learn lexicon and model from training rows: `max_train` of each label at most, chosen by a hash of the id."""
-    rows = labels.where(is_train(F.col("doc_id")) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    small_batches(docs.sparkSession)
+    rows = labelled(labels, label)
     chosen = sampled(rows.where("y = 1"), "doc_id", max_train).unionByName(sampled(rows.where("y = 0"), "doc_id", max_train))
     # Two integers for each of a bounded number of rows.
-    train = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "y")
+    train = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "y", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).alias("inner"))
     train = train.persist()
     try:
 
@@ -372,26 +394,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(lexicon, other_words)
             for b in batches:
-                x = pa.array([scorer.features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([b.column(1), x], names=["y", "x"])
-
-        known = train.mapInArrow(features, "y int, x array<double>").collect()
-        x = np.array([r["x"] for r in known], float)
-        y = np.array([r["y"] for r in known], float)
-        # Few labelled rows are misspelt: toxic ones also count as if each match were misspelt and stood alone.
-        more, less = x[y == 1], MISSPELT / ADDRESSED / AMONG_OTHERS
-        more = np.stack([np.log1p(np.expm1(more[:, 0]) * less), more[:, 1] * less], axis=1)
-        w = fit_logistic(np.vstack([x, more]), np.concatenate([y, np.ones(len(more))]), penalty=0.1)
-        return Model(lexicon, [float(v) for v in w], other_words)
+                seen = [scorer.windows(t) for t in b.column(0).to_pylist()]
+                x = pa.array([[v for s in SETTINGS for v in scorer.summed(w, s)] for w in seen], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), x], names=["y", "inner", "x"])
+
+        # A row of a few numbers for each of the bounded number of training rows.
+        known = train.mapInArrow(features, "y int, inner boolean, x array<double>").collect()
+        x = np.array([r["x"] for r in known], float).reshape(len(known), len(SETTINGS), FEATURES)
+        y, inner = np.array([r["y"] for r in known], float), np.array([r["inner"] for r in known], bool)
+        k = choose_setting(x, y, inner)
+        return Model(lexicon, [float(v) for v in _weights(x[:, k], y, SETTINGS[k])], other_words, SETTINGS[k])
     finally:
         train.unpersist()
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, w = Scorer(model.lexicon, model.other_words), np.array(model.weights)
+        scorer, w = Scorer(model.lexicon, model.other_words, model.setting), np.array(model.weights)
         for b in batches:
             texts = b.column(1).cast(pa.large_string())
             x = np.array([scorer.features(t) for part in slices(texts) for t in part.to_pylist()], float).reshape(-1, FEATURES)

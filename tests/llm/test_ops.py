@@ -334,6 +334,73 @@ def test_language(spark, docs, empty):
     assert language_id.identify(docs, language_id.fit(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_paths_are_the_best_of_all(spark):
+    """Viterbi against every labelling of short texts."""
+    import itertools
+
+    import numpy as np
+
+    m = language_id.Model(["a", "b", "c"], {}, {}, [])
+    own = np.random.default_rng(4)
+    for switch in (0.5, 2.0, 6.0):
+        lab = language_id.Labeller.__new__(language_id.Labeller)
+        lab.m, lab.switch = m, switch
+        sizes = own.integers(0, 7, 60)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        score = (own.integers(-8, 1, (at[-1], 3)) * own.choice([0.5, 1.0])).astype(np.float32)
+        label = lab.paths(score, at)
+        assert label.dtype == np.int32
+        worth = lambda part, p: sum(part[i, k] for i, k in enumerate(p)) - switch * sum(x != y for x, y in zip(p, p[1:], strict=False))
+        for a, b in zip(at, at[1:], strict=False):
+            part = score[a:b].astype(float)
+            best = max((worth(part, p) for p in itertools.product(range(3), repeat=b - a)), default=0)
+            assert abs(worth(part, label[a:b].tolist()) - best) < 1e-6
+
+
+def test_spans_ties_and_repeats(spark):
+    rows = [(i, ("the house isn't near the river " if i % 2 else "la maison n'est pas la rivière ") * 20, "en" if i % 2 else "fr") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = language_id.fit(d)
+    assert any(g == "=isnt" for g in m.table)
+    mixed = "the house isn't near the river the house and la maison n'est pas la rivière la maison"
+    t = spark.createDataFrame([(1, mixed, "x", 1), (1, mixed, "y", 2), (None, "the river house", "z", 3), (3, "123 !", None, 4), (4, "xq zw", None, 5)], "doc_id long, text string, lang string, n_spans int")
+    out = language_id.identify(t, m).collect()
+    assert [r["n_spans"] for r in out[:2]] == [2, 2] and out[0][2:] == out[1][2:]
+    assert not out[2]["held_out"] and out[2]["lang_pred"] == "en" and (out[3]["lang_pred"], out[3]["score"]) == ("und", 0)
+    spans = language_id.mixed_spans(t, m).where("doc_id = 1").collect()
+    assert [r["lang"] for r in spans] == ["en", "fr"] * 2 and spans[0]["end_word"] == spans[1]["first_word"]
+    # A word that tells nothing goes to the first language.
+    even = language_id.Labeller(language_id.Model(["b1", "b2"], {}, {}, [(0.0, 0.0)] * 5))
+    assert even.predict(language_id.pa.array(["zz zz"], language_id.pa.large_string()))[0] == ["b1"]
+
+
+def test_quotation_is_told_from_abuse(spark):
+    own = random.Random(6)
+    plain = lambda n: " ".join(own.choice(WORDS) for _ in range(n))
+    bare = lambda: f"{plain(12)} you worthless scumbag {plain(12)}"
+    quoted = lambda: f'{plain(12)} he said the word "scumbag" again {plain(12)}'
+    rows = [(i, [plain(25), bare(), plain(25), quoted()][i % 4], int(i % 4 == 1)) for i in range(600)]
+    probes = [(900, bare(), 1), (901, quoted(), 0), (902, f"{plain(9)} you worthles scumbgag {plain(9)}", 1), (903, plain(30), 0), (None, bare(), 1), (904, None, 0), (904, bare(), 1)]
+    d = spark.createDataFrame([(i, t, 5, "x") for i, t, _ in rows + probes], "doc_id long, text string, score int, y string")
+    lab = spark.createDataFrame([(i, y) for i, _, y in rows] + [(2, 1), (None, 1)], "doc_id long, toxic int")
+    m = toxicity.fit(d, lab)
+    out = toxicity.score(d, m).collect()[len(rows) :]
+    assert [r["predicted"] for r in out] == [y for _, _, y in probes] and out[1]["score"] < out[0]["score"] and not out[4]["held_out"]
+
+
+def test_settings_are_chosen_inside_the_training_rows():
+    import numpy as np
+
+    own = np.random.default_rng(1)
+    y = own.integers(0, 2, 400).astype(float)
+    x = own.normal(0, 1, (400, len(toxicity.SETTINGS), 2)) * 0.01
+    x[:, 2] += np.stack([y, y], 1)
+    inner = np.arange(400) % 4 == 0
+    assert toxicity.choose_setting(x, y, inner) == 2
+    x[:, :] = x[:, :1]
+    assert toxicity.choose_setting(x, y, inner) == 0 and toxicity.choose_setting(x, np.ones(400), inner) == 0
+
+
 def test_toxicity(spark, docs, empty):
     rows = [(i, " ".join(rng.choice(WORDS) for _ in range(30)) + (" you worthless idiot" if i % 4 == 0 else ""), i % 4 == 0) for i in range(400)] + [(400, None, False), (401, "", False), (402, "an idoit and wortless words", False)]
     d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
@@ -383,6 +450,59 @@ def test_quality_classifier(docs, empty, spark):
     assert quality_classifier.classify(empty, quality_classifier.fit(empty, lab.limit(0)), F.col("source"), F.col("lang")).count() == 0
 
 
+def test_sparse_sites_shrink_to_their_host_and_the_corpus(spark):
+    """Posteriors against the formula, by plain loops over the document scores."""
+    import math
+
+    own = random.Random(9)
+    good = lambda: " ".join(own.choice(WORDS) + "." for _ in range(80))
+    bad = lambda: " ".join("BUY $$ | NOW !!" for _ in range(20))
+    rows = []
+    for h in range(12):
+        share = 0.9 if h % 2 else 0.2
+        for k in range([1, 3, 40, 90][h % 4]):
+            rows.append((len(rows), good() if own.random() < share else bad(), f"h{h}", f"p{k % 5}"))
+    rows += [(None, None, None, None), rows[5]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    lab = spark.createDataFrame([(i, int("BUY" not in rows[i][1])) for i in range(len(rows) - 2)], "doc_id long, quality int")
+    out = quality_classifier.classify(d.withColumn("p", F.lit(1)).withColumn("site_id", F.lit(2)), quality_classifier.fit(d, lab), F.col("host"), F.col("path")).collect()
+    assert len(out) == len(rows)
+    at = {}
+    for r, (i, _, h, p) in zip(sorted(out, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)), sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)), strict=True):
+        at.setdefault((h or "", p or ""), []).append((r["doc_score"], r))
+    hosts = {}
+    for (h, _), v in at.items():
+        hosts.setdefault(h, []).extend(s for s, _ in v)
+    scores = [s for v in hosts.values() for s in v]
+    mean = sum(scores) / len(scores)
+
+    def strength(groups):
+        many = [(v, c) for v, c in groups if len(v) > 1]
+        m = [sum(v) / len(v) for v, _ in many]
+        within = max(sum(sum(s * s for s in v) - len(v) * a * a for (v, _), a in zip(many, m, strict=True)) / sum(len(v) - 1 for v, _ in many), 1e-6)
+        between = sum((a - c) ** 2 for (_, c), a in zip(many, m, strict=True)) / len(m) - within * sum(1 / len(v) for v, _ in many) / len(m)
+        return min(max(within / max(between, 1e-9), 1.0), 1e6)
+
+    k_h = strength([(v, mean) for v in hosts.values()])
+    k_p = strength([([s for s, _ in v], sum(hosts[h]) / len(hosts[h])) for (h, _), v in at.items()])
+    logit = lambda x: math.log(x / (1 - x))
+    clip = lambda x: min(max(x, 1e-6), 1 - 1e-6)
+    for (h, _), v in at.items():
+        for s, r in v:
+            host = clip((sum(hosts[h]) - s + k_h * mean) / (len(hosts[h]) - 1 + k_h))
+            path = clip((sum(x for x, _ in v) - s + k_p * host) / (len(v) - 1 + k_p))
+            assert abs(r["host_posterior"] - host) < 1e-6 and abs(r["path_posterior"] - path) < 1e-6
+            assert abs(r["score"] - 1 / (1 + math.exp(-(logit(s) + logit(path) - logit(clip(mean)))))) < 1e-6
+            if len(hosts[h]) == 1:
+                assert abs(host - mean) < 1e-9 and abs(path - mean) < 1e-9
+    # Where documents are from can come from a table of its own.
+    sites = spark.createDataFrame([(0, "other", "x")], "doc_id long, host string, path string")
+    moved = quality_classifier.classify(d, quality_classifier.fit(d, lab), F.col("host"), F.col("path"), sites).where("doc_id = 0").first()
+    assert abs(moved["host_posterior"] - mean) < 1e-6
+    h, p = quality_classifier.site_of(F.lit("https://Www.A.example:80/en/25/x?q=1#t"), 2)
+    assert tuple(spark.range(1).select(h, p).first()) == ("www.a.example", "en/25")
+
+
 def test_passages(spark, empty):
     fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
     base, rows = fresh(60), []
