@@ -541,6 +541,28 @@ def test_passages_with_partial_copies_first(spark):
     assert all(any(r["doc_id"] == k and r["rep_doc_id"] == 20 and r["end_word"] - r["start_word"] >= 60 for r in out) for k in (21, 22, 23))
 
 
+def test_extents_of_edited_passages(spark):
+    """Recall in words against what was planted, of longer passages with several edits at similarity 0.8 or more."""
+    own = random.Random(21)
+    fresh = lambda n: [f"x{own.randrange(10**9)}" for _ in range(n)]
+    rows, size = [], {}
+    for k in range(60):
+        n = own.choice([60, 100, 200, 300])
+        p = fresh(n)
+        q = list(p)
+        for i in own.sample(range(5, n - 5), {60: 1, 100: 2, 200: 4, 300: 6}[n]):
+            q[i] = f"edit{i}"
+        size[2 * k + 1] = n
+        rows += [(2 * k, fresh(80) + p + fresh(80)), (2 * k + 1, fresh(80) + q + fresh(80))]
+    d = spark.createDataFrame([(k, " ".join(t), 1, "s", 2) for k, t in rows], "doc_id long, text string, k int, sign string, fn int")
+    covered = defaultdict(set)
+    for r in passage_dedup.repeated_passages(d.unionByName(d.where("doc_id = 3"))).collect():
+        covered[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    shares = [len(covered[k] & set(range(80, 80 + n))) / n for k, n in size.items()]
+    assert sum(x > 0 for x in shares) >= 0.95 * len(shares) and sum(shares) / len(shares) >= 0.9
+    assert sum(len(covered[k] - set(range(80, 80 + n))) for k, n in size.items()) == 0
+
+
 def test_parts_of_a_passage_with_an_insertion():
     fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
     p = fresh(300)
