@@ -518,6 +518,18 @@ def test_passages(spark, empty):
     assert passage_dedup.repeated_passages(empty).count() == 0
 
 
+def test_equal_texts_and_repeated_words(spark):
+    fresh = lambda n: " ".join(f"y{rng.randrange(10**9)}" for _ in range(n))
+    whole, run = fresh(80), " ".join(["ha"] * 70)
+    rows = [(1, whole), (2, whole), (3, f"{fresh(20)} {whole} {fresh(20)}"), (4, f"{fresh(9)} {run} {fresh(30)}"), (5, f"{fresh(40)} {run}"), (6, fresh(20)), (7, fresh(100))]
+    rows += [(8, rows[5][1])]
+    out = passage_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in out} == {1, 2, 3, 4, 5}
+    assert [(r["start_word"], r["end_word"], r["rep_doc_id"]) for r in out if r["doc_id"] == 2] == [(0, 80, 1)]
+    assert any((r["doc_id"], r["rep_doc_id"], r["start_word"], r["end_word"]) == (3, 1, 20, 100) for r in out)
+    assert any((r["doc_id"], r["rep_doc_id"]) == (5, 4) for r in out)
+
+
 def test_passages_of_least_size_with_one_edit(spark):
     own = random.Random(11)
     fresh = lambda n: [f"x{own.randrange(10**9)}" for _ in range(n)]
