@@ -248,3 +248,12 @@ def test_bridges_join_common_names(spark):
     assert blocking.pass_given(a, b, config).count() == 0
     p = a.crossJoin(b).withColumn("similar", F.lit(False))
     assert {r["id_a"]: r["k"] for r in scoring.with_bridges(p, bridges).select("id_a", scoring.surname_kind().alias("k")).collect()} == {"a1": "bridge", "a2": "none"}
+
+
+def test_entry_slice(spark, tmp_path):
+    from kinweave.plans import queries
+
+    rows = [(k, k % 7, "1-URGENT") for k in range(1, 40)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    ids = [r["id_a"] for r in queries.minimum_slice(spark, str(tmp_path)).collect()]
+    assert ids and len(ids) == len(set(ids))
