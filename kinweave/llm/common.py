@@ -60,8 +60,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def by_key(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """`df` materialized in buckets of `key`, one for each shuffle partition: joins on `key` don't shuffle it again."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"kinweave_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._kinweave_path, out._kinweave_table = path, table
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Delete a materialized table that nothing will read again."""
+    if table := getattr(df, "_kinweave_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     path = getattr(df, "_kinweave_path", None)
     if path:
         delete(df.sparkSession, path)

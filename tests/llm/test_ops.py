@@ -599,6 +599,46 @@ def test_few_repeated_words_are_no_passage(spark):
     assert passage_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
 
 
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    """Joins of lists of places to texts leave the texts where they are, whatever their size."""
+    from kinweave.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs, _ = passage_dedup.copies(spark.createDataFrame([(k, f"w{k} " * 60) for k in range(20)], "doc_id long, text string"))
+        at = docs.select("doc_id", F.lit(3).alias("c"))
+        plan = passage_dedup.beside(docs, at, 92)._jdf.queryExecution().executedPlan().toString()
+        # The list's side is bucketed as the texts are here: nothing is shuffled at all.
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert docs.count() == 20
+        common.discard(docs)
+        assert not spark.catalog.tableExists(docs._kinweave_table)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_repeated_words_are_not_compared_in_pairs(monkeypatch):
+    """Runs of one word in a group of many: who has too few places of it is left out before any pair is looked at."""
+    import numpy as np
+
+    own, n, size = random.Random(12), 61, 46
+    fresh = lambda k: [own.randrange(100, 2**30) for _ in range(k)]
+    # The last three are runs of shingle 7; all others have it ten times, and something in common with a neighbour far from there.
+    beside = [fresh(60) for _ in range(n)]
+    h = [np.array(beside[k // 2] + fresh(32) + [7] * 10 + fresh(83) if k < 58 else fresh(92) + [7] * 93, np.int32) for k in range(n)]
+    cols = [np.arange(n), np.full(n, 92), np.zeros(n, int), np.full(n, 184), np.ones(n, int), np.full(n, 92)]
+    calls, plain = [], passage_dedup.similar_parts
+    monkeypatch.setattr(passage_dedup, "similar_parts", lambda *a: calls.append(1) or plain(*a))
+    links = list(passage_dedup.Group(cols, h, size, 0.8).links())
+    assert {y for x in links for y in (x[0], x[3])} == {58, 59, 60}
+    assert len(calls) <= 3
+    # So by counts over all.
+    monkeypatch.setattr(passage_dedup, "FEW", 0)
+    assert list(passage_dedup.Group(cols, h, size, 0.8).links()) == links
+
+
 def test_extents_of_edited_passages(spark):
     """Recall in words against what was planted, of longer passages with several edits at similarity 0.8 or more."""
     own = random.Random(21)
