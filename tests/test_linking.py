@@ -257,3 +257,45 @@ def test_entry_slice(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     ids = [r["id_a"] for r in queries.minimum_slice(spark, str(tmp_path)).collect()]
     assert ids and len(ids) == len(set(ids))
+
+
+def _people(spark, n, seed, tag):
+    r = random.Random(seed)
+    pick = lambda *x: r.choice([None, *x])
+    rows = [(f"{tag}{i}", i, pick("a", "b", "c"), pick("A", "B"), pick("S", "T"), pick(*"uvwxyz"), pick(1820, 1830, 1841, 1850), pick("M", "F"), pick("f1", "f2", "f3", "f4", "f5")) for i in range(n)]
+    names = ("id", "seq", "last", "nysiis", "soundex", "canon_first", "birth_year", "gender", "family_id")
+    return [dict(zip(names, x, strict=True)) for x in rows], spark.createDataFrame(rows, ", ".join(f"{k}_{tag} {'int' if k in ('seq', 'birth_year') else 'string'}" for k in names))
+
+
+def _fits(x, y, gap):
+    return (x["gender"] is None or y["gender"] is None or x["gender"] == y["gender"]) and (x["birth_year"] is None or y["birth_year"] is None or abs(x["birth_year"] - y["birth_year"]) <= gap)
+
+
+def _passes(xs, ys, config, bridged=frozenset()):
+    """Pairs of each pass, by loops."""
+    eq = lambda x, y, k: x[k] is not None and x[k] == y[k]
+    key = lambda x, y: (x["id"], y["id"])
+    sur = lambda x, y: eq(x, y, "nysiis") or eq(x, y, "soundex")
+    n = {x["canon_first"]: sum(y["canon_first"] == x["canon_first"] for y in xs) for x in xs}
+    full = lambda x, y: x["last"] is not None and y["last"] is not None and (x["last"] == y["last"] or sur(x, y) or tuple(sorted((x["last"], y["last"]))) in bridged)
+    one = {key(x, y) for x in xs for y in ys if sur(x, y) and _fits(x, y, 12)}
+    two = {key(x, y) for x in xs for y in ys if eq(x, y, "canon_first") and _fits(x, y, 5) and (n[x["canon_first"]] < config.common_count or full(x, y))}
+    fam = lambda x, y: (x["family_id"], y["family_id"])
+    seeds = {}
+    for x in xs:
+        for y in ys:
+            if key(x, y) in one | two and None not in fam(x, y):
+                seeds.setdefault(fam(x, y), set()).add(key(x, y))
+    three = {key(x, y) for x in xs for y in ys if seeds.get(fam(x, y), set()) - {key(x, y)} and _fits(x, y, 10)}
+    return one, two, three
+
+
+def test_surname_pairs_are_not_shuffled(spark):
+    (xs, a), (ys, b) = _people(spark, 60, 1, "a"), _people(spark, 60, 2, "b")
+    d = blocking.pass_surname(a, b, LinkConfig())
+    # Only records are dealt out: no aggregate stands over the pairs.
+    assert "HashAggregate" not in d._jdf.queryExecution().executedPlan().toString()
+    rows = [tuple(r) for r in d.collect()]
+    assert sorted(rows) == sorted(_passes(xs, ys, LinkConfig())[0])
+    twice = a.unionByName(a.withColumn("nysiis_a", F.lit("B")))
+    assert len(rows) < (n := blocking.pass_surname(twice, b, LinkConfig()).count()) == blocking.pass_surname(twice, b, LinkConfig()).distinct().count() and n
