@@ -299,3 +299,12 @@ def test_surname_pairs_are_not_shuffled(spark):
     assert sorted(rows) == sorted(_passes(xs, ys, LinkConfig())[0])
     twice = a.unionByName(a.withColumn("nysiis_a", F.lit("B")))
     assert len(rows) < (n := blocking.pass_surname(twice, b, LinkConfig()).count()) == blocking.pass_surname(twice, b, LinkConfig()).distinct().count() and n
+
+
+def test_given_pairs_are_not_shuffled(spark):
+    (xs, a), (ys, b) = _people(spark, 60, 3, "a"), _people(spark, 60, 4, "b")
+    config = LinkConfig(common_count=9)
+    bridges = spark.createDataFrame([("a", "c")], "x string, y string")
+    d = blocking.pass_given(a, b, config, bridges)
+    assert d._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+    assert sorted(tuple(r) for r in d.collect()) == sorted(_passes(xs, ys, config, {("a", "c")})[1])
