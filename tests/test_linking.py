@@ -308,3 +308,21 @@ def test_given_pairs_are_not_shuffled(spark):
     d = blocking.pass_given(a, b, config, bridges)
     assert d._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
     assert sorted(tuple(r) for r in d.collect()) == sorted(_passes(xs, ys, config, {("a", "c")})[1])
+
+
+def test_index_pairs_are_met_once(spark):
+    r = random.Random(5)
+    side = lambda n, t: spark.createDataFrame([(i, *[r.choice([None, "p", "q", "s", "u"]) for _ in range(4)], r.randrange(3)) for i in range(n)], f"no_{t} int, n_{t} string, f_{t} string, m1_{t} string, m2_{t} string, g_{t} int")
+    x, y = side(40, "x"), side(40, "y")
+    keys = {"N:": [("n_x", "n_y")], "F:": [("f_x", "f_y")], "M:": [("m1_x", "m1_y"), ("m2_x", "m2_y")]}
+    d = blocking.index_joins(x, y, keys, F.col("g_x") == F.col("g_y"))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0
+    want = []
+    for a in x.collect():
+        for b in y.collect():
+            left = [("N", a["n_x"]), ("F", a["f_x"]), ("M", a["m1_x"]), ("M", a["m2_x"])]
+            right = {("N", b["n_y"]), ("F", b["f_y"]), ("M", b["m1_y"]), ("M", b["m2_y"])}
+            via = next((i for i, k in enumerate(left) if k[1] is not None and k in right), None)
+            if via is not None and a["g_x"] == b["g_y"]:
+                want.append((a["no_x"], b["no_y"], via))
+    assert sorted(tuple(z) for z in d.select("no_x", "no_y", "via").collect()) == sorted(want)
