@@ -326,3 +326,15 @@ def test_index_pairs_are_met_once(spark):
             if via is not None and a["g_x"] == b["g_y"]:
                 want.append((a["no_x"], b["no_y"], via))
     assert sorted(tuple(z) for z in d.select("no_x", "no_y", "via").collect()) == sorted(want)
+
+
+def test_passes_of_records(spark):
+    (xs, a), (ys, b) = _people(spark, 70, 6, "a"), _people(spark, 70, 7, "b")
+    config = LinkConfig(common_count=9)
+    for bridges in (None, spark.createDataFrame([("a", "c")], "x string, y string")):
+        d = blocking.block(a, b, config, bridges)
+        got = [(r["id_a"], r["id_b"], tuple(r["passes"])) for r in d.collect()]
+        passes = _passes(xs, ys, config, set() if bridges is None else {("a", "c")})
+        want = {k: tuple(i + 1 for i, p in enumerate(passes) if k in p) for k in set().union(*passes)}
+        assert sorted(got) == sorted((*k, v) for k, v in want.items())
+        assert d._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
