@@ -338,3 +338,15 @@ def test_passes_of_records(spark):
         want = {k: tuple(i + 1 for i, p in enumerate(passes) if k in p) for k in set().union(*passes)}
         assert sorted(got) == sorted((*k, v) for k, v in want.items())
         assert d._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+
+
+def test_knockouts_of_marked_records(spark):
+    one = lambda t, ids: spark.createDataFrame([(i, 1850, "M", "B", "S") for i in ids], f"id_{t} string, birth_year_{t} int, gender_{t} string, nysiis_{t} string, soundex_{t} string")
+    a, b = one("a", ["a1", "a2", "a3"]), one("b", ["b1", "b2"])
+    not_same = spark.createDataFrame([("b1", "a1"), ("a2", "b2"), ("a2", "b2")], "subject_id string, object_id string")
+    a = blocking.marked(a, not_same, a.where("id_a in ('a2', 'a3')").select("id_a"))
+    d = blocking.knock_out(a.crossJoin(b), LinkConfig())
+    # The rules are told from the records: no join has the pairs on a shuffled side.
+    assert d._jdf.queryExecution().optimizedPlan().toString().index("Join Cross") < d._jdf.queryExecution().optimizedPlan().toString().index("LeftOuter")
+    got = {(r["id_a"], r["id_b"]): r["ko"] for r in d.collect()}
+    assert got == {("a1", "b1"): "isNotSameAs", ("a1", "b2"): None, ("a2", "b1"): "deathBefore1880", ("a2", "b2"): "isNotSameAs", ("a3", "b1"): "deathBefore1880", ("a3", "b2"): "deathBefore1880"}
